@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import url_rules
+from . import chat, url_rules
 
-MODULES = [url_rules]
+MODULES = [url_rules, chat]
 
 
 def queries() -> dict:
