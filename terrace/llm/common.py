@@ -30,3 +30,53 @@ def text_of(column: str = "text"):
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, from which partition counts are derived."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0)
+
+
+def text_buffer(column):
+    """An Arrow string column as one uint8 array with int64 offsets; null counts as empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    n, start = len(column), column.offset
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[start : start + n + 1]
+    data = column.buffers()[2]
+    bytes_ = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return bytes_, offsets - offsets[0]
+
+
+def byte_class(inside) -> "object":
+    """A table of 256 booleans."""
+    import numpy as np
+
+    out = np.zeros(256, bool)
+    out[list(inside)] = True
+    return out
+
+
+SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+
+
+def word_starts(data, offsets, spaces=SPACE_BYTES):
+    """Where words (runs of bytes that are not spaces) begin and end, texts apart; and how many words each text has."""
+    import numpy as np
+
+    word = ~byte_class(spaces)[data]
+    before = np.empty(len(data), bool)
+    before[1:] = word[:-1]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    before[firsts] = False
+    starts = np.flatnonzero(word & ~before)
+    after = np.empty(len(data), bool)
+    after[:-1] = word[1:]
+    lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    after[lasts] = False
+    ends = np.flatnonzero(word & ~after) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))

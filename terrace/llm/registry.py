@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, url_rules
+from . import chat, mixing, pieces, url_rules
 
-MODULES = [url_rules, chat]
+MODULES = [url_rules, chat, mixing, pieces]
 
 
 def queries() -> dict:
