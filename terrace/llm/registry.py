@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, notices, pieces, url_rules
+from . import chat, fingerprints, mixing, notices, pieces, toxicity, url_rules
 
-MODULES = [url_rules, chat, mixing, pieces, fingerprints, notices]
+MODULES = [url_rules, chat, mixing, pieces, fingerprints, notices, toxicity]
 
 
 def queries() -> dict:
