@@ -80,3 +80,41 @@ def word_starts(data, offsets, spaces=SPACE_BYTES):
     after[lasts] = False
     ends = np.flatnonzero(word & ~after) + 1
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def stored(frame: DataFrame) -> tuple[DataFrame, str]:
+    """Writes a table to the shared checkpoint folder, which cuts its lineage, and gives it with its path."""
+    import uuid
+
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def components(nodes_edges: DataFrame) -> DataFrame:
+    """Connected components of edges (u, v): rows (id, component) for each id in an edge, component the smallest id.
+
+    Each round hooks every node to its smallest neighbour and contracts the edges, so stars end in one round and long
+    chains shrink by half or more; rounds are checkpointed."""
+    spark = nodes_edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    edges = nodes_edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
+    label = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("to")).checkpoint()
+        to = hook.select(F.col("node").alias("component"), "to")
+        label = label.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")).checkpoint()
+        moved = edges.join(hook.select(F.col("node").alias("u"), F.col("to").alias("a")), "u").join(hook.select(F.col("node").alias("v"), F.col("to").alias("b")), "v")
+        edges = moved.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().checkpoint()
+    return label

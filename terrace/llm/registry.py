@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, notices, pieces, toxicity, url_rules
+from . import chat, fingerprints, jaccard, mixing, notices, pieces, toxicity, url_rules
 
-MODULES = [url_rules, chat, mixing, pieces, fingerprints, notices, toxicity]
+MODULES = [url_rules, chat, mixing, pieces, fingerprints, notices, toxicity, jaccard]
 
 
 def queries() -> dict:
