@@ -1,15 +1,59 @@
-"""The corpus pipeline: stages that each read the documents their predecessor kept."""
+"""The corpus pipeline: stages that each read the documents their predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows with
+null doc_ids are kept by the stages that drop copies only if their text has no row with an id. Documents that have one doc_id are
+mixed alike.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrace.llm.common import table
+from terrace.llm.fingerprints import exact_groups
+from terrace.llm.jaccard import near_duplicates
+from terrace.llm.mixing import repeated
+from terrace.llm.pieces import digests
+from terrace.llm.toxicity import learned, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar rejects go."""
+    return without_toxic(docs, learned(docs, table(spark, sf_dir, "labels")))
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the smallest doc_id stays."""
+    return _only(docs, exact_groups(docs).filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five words, a similarity of 0.8."""
+    return _only(docs, near_duplicates(docs, n=5, percent=80).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return repeated(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of every document that is left, and digests of their ids and of what they decode to."""
+    return digests(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
+#: SQL has no pattern grammar and no pieces; the pipeline is tested stage by stage against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -90,8 +90,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def repeated(docs: DataFrame, **names) -> DataFrame:
     """The mixed documents: each as often as the mix takes it, a partial repetition cut after its words."""
-    took = mix(docs, **names).select("doc_id", "epochs", "extra")
-    rows = docs.join(took, "doc_id")
+    took = mix(docs, **names).select(F.col("doc_id").alias("taken_id"), "epochs", "extra").dropDuplicates(["taken_id"])
+    rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col("taken_id")))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORDS), 0)
     part = F.array_join(F.slice(words, F.lit(1), F.col("extra").cast("int")), "")
     copies = F.concat(F.array_repeat(F.col("text"), F.col("epochs").cast("int")), F.when(F.col("extra") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
