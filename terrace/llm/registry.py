@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, jaccard, mixing, notices, pieces, suffixes, toxicity, url_rules
+from . import chat, fingerprints, jaccard, mixing, notices, pieces, suffixes, topk, toxicity, url_rules
 
-MODULES = [url_rules, chat, mixing, pieces, fingerprints, notices, toxicity, jaccard, suffixes]
+MODULES = [suffixes, topk, notices, fingerprints, jaccard, toxicity, url_rules, mixing, pieces, chat]
 
 
 def queries() -> dict:
