@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_buffer, text_bytes, word_starts
-from .jaccard import _slices, word_hashes
+from .jaccard import _slices, cut_buffer, word_hashes
 
 K = 10
 K1, B = 1.2, 0.75
 EVERY = 100
 BLOCK = 64
-SHARD_BYTES = 64_000_000
+SHARD_BYTES = 24_000_000
 UNIT = 1e6
 _NULL = np.iinfo(np.int64).max
 #: Bytes that part words.
@@ -52,17 +52,21 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _frequencies(batches: Iterator) -> Iterator:
-    """Per part of a batch: (term, documents with it), and a row without a term for its documents and words."""
+    """Per batch: (term, documents with it), and a row without a term for its documents and words."""
     import pyarrow as pa
 
     for whole in batches:
-        for _, data, offsets in _slices(whole, 16_000_000):
+        found, n_docs, n_words = [], 0, 0
+        for _, data, offsets in _slices(whole):
             _, term, _, words = terms_of(data, offsets)
-            distinct, counts = np.unique(term, return_counts=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.array(distinct, pa.int64()), pa.nulls(1, pa.int64())]), pa.array(np.append(counts, len(words)), pa.int64()),
-                pa.array(np.append(np.zeros(len(counts), np.int64), words.sum()), pa.int64()),
-            ], names=["term", "docs", "words"])
+            found.append(np.unique(term, return_counts=True))
+            n_docs, n_words = n_docs + len(words), n_words + int(words.sum())
+        distinct, place = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        counts = np.bincount(place, np.concatenate([c for _, c in found]), len(distinct)).astype(np.int64) if found else distinct
+        yield pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.array(distinct, pa.int64()), pa.nulls(1, pa.int64())]), pa.array(np.append(counts, n_docs), pa.int64()),
+            pa.array(np.append(np.zeros(len(counts), np.int64), n_words), pa.int64()),
+        ], names=["term", "docs", "words"])
 
 
 def _terms(batches: Iterator) -> Iterator:
@@ -79,11 +83,14 @@ class Index:
 
     def __init__(self, ids, data, offsets, terms: np.ndarray, df: np.ndarray, n_docs: int, n_words: int):
         self.terms = terms
-        doc, term, tf, words = terms_of(data, offsets)
-        at = np.searchsorted(terms, term)
-        at[at == len(terms)] = 0
-        asked = terms[at] == term if len(terms) else np.zeros(len(term), bool)
-        doc, at, tf = doc[asked], at[asked], tf[asked]
+        parts, words = [], np.zeros(len(offsets) - 1, np.int64)
+        for a, b in cut_buffer(data, offsets):
+            doc, term, tf, words[a:b] = terms_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            at = np.searchsorted(terms, term)
+            at[at == len(terms)] = 0
+            asked = terms[at] == term if len(terms) else np.zeros(len(term), bool)
+            parts.append((doc[asked] + a, at[asked], tf[asked]))
+        doc, at, tf = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
         # alike documents next to each other: by the commonest term they have much of, then by length
         lead = np.full(len(words), -1)
         by = np.lexsort((df[at], tf, doc))
