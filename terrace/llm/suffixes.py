@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from . import shared_keys as sk
 from .common import table, text_buffer
-from .jaccard import _R, _R_INVERSE, _powers_of
+from .jaccard import _R, _R_INVERSE, _powers_of, cut_buffer
 
 LENGTH = 50
 #: Bytes of the k-grams that windows are filed under.
 GRAM = 24
 #: A shard's share of buckets: each bucket of keys is cut into 2^SPLIT shards.
-SPLIT = 1
+SPLIT = 2
+#: Bytes of a suffix array's text, about.
+ARRAY = 300_000
 _NULL = np.iinfo(np.int64).max
 
 
@@ -155,21 +157,27 @@ def least_owner(t: np.ndarray, owner: np.ndarray, window: np.ndarray, depth: int
 
 
 class Runs:
-    """A chunk's windows, by the k-gram that each is filed under."""
+    """A chunk's windows, by the k-gram that each is filed under: of each run of windows with one k-gram its key, document,
+    first byte, number of windows, and a hash of its bytes."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         self.ids, self.data, self.offsets, self.length = ids, data, offsets, length
-        n = len(data)
+        parts = [p for a, b in cut_buffer(data, offsets) if (p := self._slice(a, b, length, gram))]
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64)
+        self.key, self.doc, self.start, self.windows, self.content = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds))
+
+    def _slice(self, a: int, b: int, length: int, gram: int):
+        first = self.offsets[a]
+        data, offsets = self.data[first : self.offsets[b]], self.offsets[a : b + 1] - first
         per_doc = np.maximum(np.diff(offsets) - length + 1, 0)
-        self.running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers_of(_R, max(n, 1))[:n], dtype=np.uint64)])
         if not per_doc.sum():
-            self.key = np.zeros(0, np.uint64)
-            self.doc = self.start = self.windows = np.zeros(0, np.int64)
-            return
-        grams = sk.mix64((self.running[gram:] - self.running[:-gram]) * _powers_of(_R_INVERSE, n)[: n - gram + 1])
-        # the place in the low bits: among equal k-grams the leftmost is the smallest
-        bits = max(1, int(n).bit_length())
-        low = np.uint64((1 << bits) - 1)
+            return None
+        n = len(data)
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers_of(_R, n), dtype=np.uint64)])
+        inverse = _powers_of(_R_INVERSE, n + 1)
+        grams = sk.mix64((running[gram:] - running[:-gram]) * inverse[: n - gram + 1])
+        # order by the upper half, the place in the lower: of equal ones the leftmost is the smallest, wherever the slice began
+        low = np.uint64((1 << 32) - 1)
         least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         width, have = length - gram + 1, 1
         while have * 2 <= width:
@@ -183,16 +191,15 @@ class Runs:
         new = np.ones(len(doc), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
-        self.key, self.doc, self.start = grams[anchor[at]], doc[at], window[at]
-        self.windows = np.diff(np.append(at, len(doc)))
+        start, windows = window[at], np.diff(np.append(at, len(doc)))
+        content = sk.mix64((running[start + windows + length - 1] - running[start]) * inverse[start] + windows.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return grams[anchor[at]], doc[at] + a, start + first, windows, content
 
     def classes(self, shared: np.ndarray, bits: int):
         """Distinct contents of the runs that share their k-gram, by shard: runs, class of each, and of each class its shard,
         first run and least doc_id."""
         runs = np.flatnonzero(shared)
-        end = self.start[runs] + self.windows[runs] + self.length - 1
-        h = (self.running[end] - self.running[self.start[runs]]) * _powers_of(_R_INVERSE, len(self.data) + 1)[self.start[runs]]
-        h = sk.mix64(h + self.windows[runs].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = self.content[runs]
         shard = (self.key[runs] >> np.uint64(64 - bits)).astype(np.int64)
         own = self.ids[self.doc[runs]]
         order = np.lexsort((own, h, shard))
@@ -221,7 +228,7 @@ def _shared(runs: Runs, said, bits: int) -> np.ndarray:
     return sk.counted(said.column("bucket").to_pylist(), said.column("counts").to_pylist(), runs.key, runs.ids[runs.doc], bits) > 1
 
 
-SENT = "shard int, chunk int, windows binary, owners binary, bytes binary"
+SENT = "shard int, chunk int, windows binary, owners binary, subs binary, bytes binary"
 MASKS = "chunk int, shard int, mask binary"
 
 
@@ -239,11 +246,12 @@ def _send(length: int, gram: int, bits: int):
             n = runs.windows[own]
             size = n + length - 1
             at = np.repeat(runs.start[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            rows.append((sk.packed(n.astype(np.uint8)), sk.packed(least[edges[s] : edges[s + 1]]), sk.packed(runs.data[at])))
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
+            sub = (runs.key[own] >> np.uint64(56 - bits - SPLIT)).astype(np.uint8)
+            rows.append((sk.packed(n.astype(np.uint8)), sk.packed(least[edges[s] : edges[s + 1]]), sk.packed(sub), sk.packed(runs.data[at])))
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table({
             "shard": pa.array(used, pa.int32()), "chunk": pa.array(np.full(len(used), key[0].as_py()), pa.int32()),
-            **{name: pa.array(c, pa.binary()) for name, c in zip(("windows", "owners", "bytes"), columns, strict=True)},
+            **{name: pa.array(c, pa.binary()) for name, c in zip(("windows", "owners", "subs", "bytes"), columns, strict=True)},
         })
 
     return run
@@ -255,14 +263,25 @@ def _judge(length: int):
 
         n = [sk.unpacked(x.as_py(), np.uint8).astype(np.int64) for x in rows.column("windows")]
         owners = np.concatenate([sk.unpacked(x.as_py(), np.int64) for x in rows.column("owners")])
-        t = np.concatenate([sk.unpacked(x.as_py(), np.uint8) for x in rows.column("bytes")])
+        subs = np.concatenate([sk.unpacked(x.as_py(), np.uint8).astype(np.int64) for x in rows.column("subs")])
+        whole = np.concatenate([sk.unpacked(x.as_py(), np.uint8) for x in rows.column("bytes")])
         windows = np.concatenate(n)
         size = windows + length - 1
-        begin = np.cumsum(size) - size
-        run_of = np.repeat(np.arange(len(size)), size)
-        window = np.arange(len(t)) - begin[run_of] < windows[run_of]
-        owner = owners[run_of]
-        repeats = (least_owner(t, owner, window, length) < owner)[window]
+        begin, place = np.cumsum(size) - size, np.cumsum(windows) - windows
+        repeats = np.zeros(int(windows.sum()), bool)
+        # one array for as many k-grams as make about ARRAY bytes
+        parts = min(256, 1 << max(0, (len(whole) // ARRAY).bit_length()))
+        for part in range(parts):
+            own = np.flatnonzero(subs // (256 // parts) == part)
+            if not len(own):
+                continue
+            in_part = size[own]
+            run_of = np.repeat(np.arange(len(own)), in_part)
+            within = np.arange(len(run_of)) - np.repeat(np.cumsum(in_part) - in_part, in_part)
+            t = whole[begin[own][run_of] + within]
+            window = within < windows[own][run_of]
+            owner = owners[own][run_of]
+            repeats[(place[own][run_of] + within)[window]] = (least_owner(t, owner, window, length) < owner)[window]
         ends = np.cumsum([int(x.sum()) for x in n])
         masks = [sk.packed(np.packbits(repeats[e - int(x.sum()) : e])) for x, e in zip(n, ends, strict=True)]
         return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"), "mask": pa.array(masks, pa.binary())})
@@ -295,10 +314,10 @@ def _cut(length: int, gram: int, bits: int):
         within = np.arange(len(run_of)) - np.repeat(np.cumsum(each) - each, each)
         gone = repeats[begin[of[run_of]] + within] | (runs.ids[runs.doc[own]] > least[of])[run_of]
         at = (runs.start[own][run_of] + within)[gone]
-        delta = np.zeros(len(runs.data) + length + 1, np.int64)
+        delta = np.zeros(len(runs.data) + length + 1, np.int16)
         np.add.at(delta, at, 1)
         np.add.at(delta, at + length, -1)
-        covered = np.cumsum(delta)[: len(runs.data)] > 0
+        covered = np.cumsum(delta, dtype=np.int32)[: len(runs.data)] > 0
         out: list[list] = [[], [], [], [], []]
         o = runs.offsets
         for i in range(left.num_rows):
