@@ -483,7 +483,7 @@ def terrain_layers(contours: DataFrame, points: DataFrame, boundaries: DataFrame
     def build(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return layer_rows("", [])
-        boundary = from_row(right.iloc[0]["geom"])
+        boundary = from_row(right.iloc[0]["outline"])
         left = left.sort_values("ord", kind="stable") if "ord" in left else left.iloc[sorted(range(len(left)), key=lambda i: sort_key(left.iloc[i]["id"]))]
         own = [
             Contour(r.id, r.layer, from_row(r.geom), float(r.elevation), float(r.estimated), r.source, None if pd.isna(r.distance) else float(r.distance))
@@ -500,7 +500,8 @@ def terrain_layers(contours: DataFrame, points: DataFrame, boundaries: DataFrame
         engrave(out, slicing, offset, tolerance)
         return layer_rows(left.iloc[0]["project"], out)
 
-    return known.groupBy("project").cogroup(boundaries.select("project", "geom").groupBy("project")).applyInPandas(build, LAYER)
+    outlines = boundaries.select(F.col("project").alias("place"), F.col("geom").alias("outline"))
+    return known.groupBy("project").cogroup(outlines.groupBy("place")).applyInPandas(build, LAYER)
 
 
 def expanded_repeats(layers: DataFrame) -> DataFrame:
