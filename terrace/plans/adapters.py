@@ -24,7 +24,7 @@ CONTOURS = """(SELECT 0 AS project, s_suppkey AS id, s_nationkey AS layer, CAST(
 
 
 def nested(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes inside each other, one project per stack: project, id, size, env."""
+    """Boxes inside each other, one project per stack: project, id, size, env. A size of 50 has no area, and no contour."""
     k, s = F.col("p_partkey"), F.col("p_size")
     p = k % 40
     return read(spark, d, "part").filter(s < 50).select(p.alias("project"), k.alias("id"), s.alias("size"), env_of_box(p * 100 + s, s, p * 100 + 100 - s, 200 - s).alias("env"))

@@ -158,15 +158,15 @@ def layer_counts_rollup(spark, d):
 _ADJACENT = f"""SELECT a.id AS u, b.id AS v, CASE WHEN a.x1 = b.x0 OR b.x1 = a.x0 THEN least(a.y1, b.y1) - greatest(a.y0, b.y0) ELSE least(a.x1, b.x1) - greatest(a.x0, b.x0) END AS shared
 FROM tiles a JOIN tiles b ON a.id < b.id AND ((a.x1 = b.x0 OR b.x1 = a.x0) AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 1e-6
   OR (a.y1 = b.y0 OR b.y1 = a.y0) AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 1e-6)"""
-_TILES = "tiles AS (SELECT s_suppkey AS id, CAST((s_suppkey % 20) * 10 AS DOUBLE) AS x0, CAST((s_suppkey // 20) * 10 AS DOUBLE) AS y0, CAST((s_suppkey % 20) * 10 + 10 AS DOUBLE) AS x1, CAST((s_suppkey // 20) * 10 + 10 AS DOUBLE) AS y1 FROM supplier WHERE s_suppkey % 3 <> 0)"
+_TILES = "tiles AS (SELECT s_suppkey AS id, CAST((s_suppkey % 20) * 10 AS DOUBLE) AS x0, CAST((s_suppkey // 20) * 15 AS DOUBLE) AS y0, CAST((s_suppkey % 20) * 10 + 10 AS DOUBLE) AS x1, CAST((s_suppkey // 20) * 15 + 10 + 5 * (s_suppkey % 4 // 3) AS DOUBLE) AS y1 FROM supplier)"
 
 
 def tiles(spark, d) -> DataFrame:
     from terrace.functions.native import env_of_box
 
     k = F.col("s_suppkey")
-    x, y = k % 20 * 10, F.floor(k / 20) * 10
-    return A.read(spark, d, "supplier").filter(k % 3 != 0).select(F.lit(0).alias("project"), k.alias("id"), env_of_box(x, y, x + 10, y + 10).alias("env"))
+    x, y = k % 20 * 10, F.floor(k / 20) * 15
+    return A.read(spark, d, "supplier").select(F.lit(0).alias("project"), k.alias("id"), env_of_box(x, y, x + 10, y + 10 + 5 * F.floor(k % 4 / 3)).alias("env"))
 
 
 @query("adjacency_edges", f"WITH {_TILES} {_ADJACENT}")
@@ -249,13 +249,12 @@ def override_resolution(spark, d):
 
 
 @query("override_merge", f"""SELECT id, coalesce(r.keep, l.keep) AS keep, coalesce(r.forced_source, l.forced_source) AS forced_source, coalesce(r.forced_layer, l.forced_layer) AS forced_layer
-FROM (SELECT * FROM {_OVERRIDES} WHERE id % 4 <> 0) l FULL JOIN (SELECT id + 1 AS id, keep, forced_source, forced_layer FROM {_OVERRIDES} WHERE id % 3 = 0) r USING (id)""")
+FROM {_OVERRIDES} l FULL JOIN (SELECT id + 40 AS id, keep, forced_source, forced_layer FROM {_OVERRIDES}) r USING (id)""")
 def override_merge(spark, d):
     """Field by field, the right side wins."""
     one = overrides(spark, d)
-    left = one.filter("id % 4 <> 0")
-    right = one.filter("id % 3 = 0").withColumn("id", F.col("id") + 1)
-    both = left.alias("l").join(right.alias("r"), "id", "full")
+    right = one.withColumn("id", F.col("id") + 40)
+    both = one.alias("l").join(right.alias("r"), "id", "full")
     return both.select("id", *[F.coalesce(f"r.{c}", f"l.{c}").alias(c) for c in ("keep", "forced_source", "forced_layer")])
 
 
@@ -332,11 +331,11 @@ def repeat_grid_layout(spark, d):
     return best.select("project", "id", "b.count", "b.angle", "b.cols", F.ceil(50.0 / F.col("b.count")).alias("sheets"))
 
 
-@query("sheet_grid_offsets", """WITH s AS (SELECT o_orderkey AS sheet, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, CAST(ceil(sqrt(count(*) OVER () * 430e0 / 720e0)) AS BIGINT) AS cols FROM orders WHERE o_orderkey < 500)
+@query("sheet_grid_offsets", """WITH s AS (SELECT o_orderkey AS sheet, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, CAST(ceil(sqrt(count(*) OVER () * 430e0 / 720e0)) AS BIGINT) AS cols FROM (SELECT DISTINCT o_orderkey FROM orders))
 SELECT sheet, CAST(k % cols AS DOUBLE) * 740e0 AS dx, CAST(k // cols AS DOUBLE) * 450e0 AS dy FROM s""")
 def sheet_grid_offsets(spark, d):
     """Places of sheets of 720 x 430 on one drawing, 20 apart."""
-    sheets = A.read(spark, d, "orders").filter("o_orderkey < 500").select(F.col("o_orderkey").alias("sheet"))
+    sheets = A.read(spark, d, "orders").select(F.col("o_orderkey").alias("sheet")).distinct()
     k, n = F.row_number().over(Window.orderBy("sheet")) - 1, F.count("*").over(Window.partitionBy())
     rows = sheets.withColumns({"k": k, "cols": S.sheet_columns(n, F.lit(720.0), F.lit(430.0))})
     return rows.select("sheet", ((F.col("k") % F.col("cols")) * 740.0).alias("dx"), (F.floor(F.col("k") / F.col("cols")) * 450.0).alias("dy"))
@@ -462,9 +461,9 @@ def parse_id_lists(spark, d):
     return texts(spark, d).select("id", total.alias("total"), F.size(parts).alias("n"))
 
 
-@query("id_sort_order", f"SELECT id, row_number() OVER (ORDER BY CASE WHEN n IS NULL THEN 1 ELSE 0 END, coalesce(n, 0), CASE WHEN n IS NULL THEN lower(trim(t)) ELSE '' END, id) AS place FROM (SELECT id, t, CASE WHEN regexp_full_match(trim(t), '[+-]?[0-9]+') THEN CAST(trim(t) AS BIGINT) END AS n FROM (SELECT id, CASE WHEN id % 3 = 0 THEN t ELSE CAST(id * 7 % 100 AS VARCHAR) END AS t FROM {_TEXTS} WHERE id < 200))".replace("CAST(trim(t) AS BIGINT)", "try_cast(trim(t) AS BIGINT)"))
+@query("id_sort_order", f"SELECT id, row_number() OVER (ORDER BY CASE WHEN n IS NULL THEN 1 ELSE 0 END, coalesce(n, 0), CASE WHEN n IS NULL THEN lower(trim(t)) ELSE '' END, id) AS place FROM (SELECT id, t, CASE WHEN regexp_full_match(trim(t), '[+-]?[0-9]+') THEN CAST(trim(t) AS BIGINT) END AS n FROM (SELECT id, CASE WHEN id % 3 = 0 THEN t ELSE CAST(id * 7 % 100 AS VARCHAR) END AS t FROM {_TEXTS}))".replace("CAST(trim(t) AS BIGINT)", "try_cast(trim(t) AS BIGINT)"))
 def id_sort_order(spark, d):
-    rows = texts(spark, d).filter("id < 200").withColumn("t", F.when(F.col("id") % 3 == 0, F.col("t")).otherwise((F.col("id") * 7 % 100).cast("string")))
+    rows = texts(spark, d).withColumn("t", F.when(F.col("id") % 3 == 0, F.col("t")).otherwise((F.col("id") * 7 % 100).cast("string")))
     return rows.select("id", F.row_number().over(Window.orderBy(S.id_sort_key(F.col("t")), "id")).cast("long").alias("place"))
 
 
@@ -497,10 +496,11 @@ def layer_names(spark, d):
     return A.points(spark, d).select("layer").distinct().select("layer", F.col("layer").contains("e").alias("hinted"))
 
 
-@query("missing_layers", "SELECT r_name AS layer FROM region EXCEPT SELECT r_name FROM region WHERE r_regionkey < 2")
+@query("missing_layers", "SELECT s_nationkey AS layer FROM supplier EXCEPT SELECT c_nationkey - 3 FROM customer")
 def missing_layers(spark, d):
-    r = A.read(spark, d, "region")
-    return r.select(F.col("r_name").alias("layer")).join(r.filter("r_regionkey < 2").select(F.col("r_name").alias("layer")), "layer", "left_anti").distinct()
+    """Expected layers that are not defined."""
+    defined = A.read(spark, d, "customer").select((F.col("c_nationkey") - 3).alias("layer"))
+    return A.read(spark, d, "supplier").select(F.col("s_nationkey").alias("layer")).join(defined, "layer", "left_anti").distinct()
 
 
 @query("id_layer_pairs", "SELECT l_partkey AS id, l_linestatus AS layer FROM (SELECT l_partkey, l_linestatus, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_linestatus) AS r FROM lineitem) WHERE r = 1")
@@ -536,3 +536,30 @@ def level_observations(spark, d):
     k, x = F.col("id"), F.col("env.minx")
     weight = F.when(k % 5 == 0, 1000.0).when(k % 5 == 1, S.observation_weight((k % 9) * 0.05)).when(k % 5 == 2, 0.25).otherwise(0.5)
     return A.contours(spark, d).select("id", F.rint((x - 100.0) / 50.0).cast("long").alias("level_index"), weight.alias("weight")).filter("level_index >= 0")
+
+
+@query("kernel_overlap_area", f"SELECT a, b, round(area, 6) AS area FROM ({_OVERLAPS})")
+def kernel_overlap_area(spark, d):
+    """Common areas of overlapping contours by the polygon kernel, after the native join on boxes."""
+    from terrace.functions.native import ring_geom
+    from terrace.functions.shapes import g_intersection
+
+    e = F.col("env")
+    shapes = A.contours(spark, d).withColumn("geom", ring_geom(box_ring(e["minx"], e["miny"], e["maxx"], e["maxy"])))
+    area = g_intersection("a.geom", "b.geom")["area"]
+    return spatial.self_pairs(shapes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(area, 6).alias("area")).filter("area > 1e-6")
+
+
+@query("terrain_layer_areas", f"WITH {_STACK} SELECT CAST(project AS VARCHAR) AS project, CAST(ord AS INT) AS ord, CAST(size AS DOUBLE) AS source_elevation, round((x1 - x0) * (y1 - y0), 4) AS area, CASE WHEN ord = 0 THEN '' ELSE CAST(id AS VARCHAR) END AS ids FROM stack")
+def terrain_layer_areas(spark, d):
+    """The layer pipeline on stacks of boxes with survey points on their corners: the outermost box is the boundary."""
+    from terrace.functions.native import ring_geom
+    from terrace.plans.layers import terrain_layers
+
+    e = F.col("env")
+    ring = box_ring(e["minx"], e["miny"], e["maxx"], e["maxy"])
+    rows = stack(spark, d).select(F.col("project").cast("string").alias("project"), F.col("id").cast("string").alias("id"), F.lit("topo").alias("layer"), "ord", F.col("size").cast("double").alias("z"), ring_geom(ring).alias("geom"))
+    corners = rows.select("project", "z", F.posexplode(F.slice(F.col("geom.polys")[0]["shell"], 1, 4)).alias("k", "p"))
+    points = corners.select("project", (F.col("z") * 4 + F.col("k")).cast("long").alias("point"), "p.x", "p.y", "z")
+    out = terrain_layers(rows.filter("ord > 0").drop("z"), points, rows.filter("ord = 0"), interval=1.0)
+    return out.select("project", "ord", "source_elevation", F.round("geom.area", 4).alias("area"), F.array_join("source_ids", ",").alias("ids"))
