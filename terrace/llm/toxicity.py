@@ -141,12 +141,14 @@ def _llr(k: int, n: int, rate: float) -> float:
     return 2 * (k * log(q / rate) + ((n - k) * log((1 - q) / (1 - rate)) if n > k else 0.0))
 
 
-def _weights(rows: list[set[str]], marks: list[int], least_share: float) -> dict[str, float]:
+def _weights(rows: Iterator[tuple[set[str], int]], least_share: float) -> dict[str, float]:
+    """Log-odds of the features that mark toxic rows. Rows are counted as they come, none is kept."""
     pos, neg = Counter(), Counter()
-    for f, y in zip(rows, marks, strict=True):
+    n = [0, 0]
+    for f, y in rows:
         (pos if y else neg).update(f)
-    n1 = sum(marks)
-    n0 = len(marks) - n1
+        n[y] += 1
+    n0, n1 = n
     if not n1 or not n0:
         return {}
     out = {}
@@ -162,11 +164,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     learn, rest = [r for i, r in enumerate(rows) if i % 3 != 2], rows[2::3]
     if len(rows) < 30 or not 0 < sum(y for _, y in rest) < len(rest):
         return model
-    bags = [set(WORD.findall(t.lower())) for t, _ in learn]
-    marks = [y for _, y in learn]
-    model.words = _weights(bags, marks, 0.8)
+    words = lambda t: set(WORD.findall(t.lower()))
+    model.words = _weights(((words(t), y) for t, y in learn), 0.8)
     # beginnings that mark more than the words found so far
-    model.beginnings = _weights([{w[:k] for w in b if w not in model.words for k in PREFIXES if len(w) > k} for b in bags], marks, 0.3)
+    known = model.words
+    model.beginnings = _weights((({w[:k] for w in words(t) if w not in known for k in PREFIXES if len(w) > k}, y) for t, y in learn), 0.3)
     x = np.array([model.features(t) for t, _ in rest])
     y = np.array([m for _, m in rest], float)
     c = np.zeros(x.shape[1])
