@@ -34,6 +34,8 @@ from .common import components, ensure_checkpoint_dir, forget, stored, table, te
 
 N = 4
 PERCENT = 85
+#: Bytes of text in a chunk; a task's arrays take some hundred bytes a byte.
+CHUNK_BYTES = 4_000_000
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -86,14 +88,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.
     return grams, np.searchsorted(owner, np.arange(len(words) + 1))
 
 
-def _slices(batch, size: int = 4_000_000) -> Iterator:
+#: Bytes of text that are hashed at once; the arrays for it take some hundred bytes a byte.
+SLICE = 2_000_000
+
+
+def cut_buffer(data: np.ndarray, offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about this many bytes."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def _slices(batch, size: int = SLICE) -> Iterator:
     """Parts of a batch of about this many bytes of text."""
     data, offsets = text_buffer(batch.column("text"))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+    for at, to in cut_buffer(data, offsets, size):
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of a large buffer, slice by slice."""
+    parts = [shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n) for a, b in cut_buffer(data, offsets)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    return np.concatenate([g for g, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
 
 
 def _sizes(n: int):
@@ -167,21 +187,35 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, bands: Bands) -> dict[str,
     return {
         "key": np.concatenate([keys, less]), "part": np.concatenate([owner, part[cut]]),
         "row": np.concatenate([row[owner], row[part[cut]]]) if len(row) else np.zeros(0, np.int64),
-        "single": np.concatenate([~doubled, np.zeros(int(cut.sum()), bool)]), "deleted": np.concatenate([np.zeros(total, bool), np.ones(int(cut.sum()), bool)]),
+        "segment": np.concatenate([np.arange(total), at[cut]]), "doubled": np.concatenate([doubled, np.ones(int(cut.sum()), bool)]), "deleted": np.concatenate([np.zeros(total, bool), np.ones(int(cut.sum()), bool)]),
         "room": bands.room(size[row], band) if len(row) else np.zeros(0, np.int64),
     }
 
 
 def allocate(keys: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """Which keys a set asks with: all but the most frequent of its singly compared segments, as many as it has room to leave out."""
-    asks = np.ones(len(counts), bool)
-    may = np.flatnonzero(keys["single"] & (counts > 1))
-    order = may[np.lexsort((-counts[may], keys["part"][may]))]
-    part = keys["part"][order]
-    first = np.concatenate([[True], part[1:] != part[:-1]]) if len(part) else np.zeros(0, bool)
-    rank = np.arange(len(part)) - np.maximum.accumulate(np.where(first, np.arange(len(part)), 0)) if len(part) else part
-    asks[order[rank < keys["room"][part]]] = False
-    return asks
+    """Which keys a set asks with. It has ``room`` units to save, and saves them where the most documents would answer: a
+    unit leaves out a segment's exact key, or the deletions of a doubled one; of a doubled segment the deletions go first."""
+    segment, gone = keys["segment"], keys["deleted"]
+    total = int(segment.max()) + 1 if len(segment) else 0
+    exact = np.zeros(total, np.int64)
+    exact[segment[~gone]] = counts[~gone]
+    deletions = np.zeros(total, np.int64)
+    np.maximum.at(deletions, segment[gone], counts[gone])
+    part = np.zeros(total, np.int64)
+    part[segment] = keys["part"]
+    doubled = np.zeros(total, bool)
+    doubled[segment] = keys["doubled"]
+    # units: deletions of doubled segments, then exact keys, which are worth no more than their segment's deletions
+    unit_part = np.concatenate([part, part])
+    worth = np.concatenate([np.where(doubled, deletions, 0), np.where(doubled, np.minimum(exact, deletions), exact)])
+    may = np.flatnonzero(worth > 1)
+    order = may[np.lexsort((may, -worth[may], unit_part[may]))]
+    p = unit_part[order]
+    first = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
+    rank = np.arange(len(p)) - np.maximum.accumulate(np.where(first, np.arange(len(p)), 0)) if len(p) else p
+    saved = np.zeros(2 * total, bool)
+    saved[order[rank < keys["room"][p]]] = True
+    return ~np.where(gone, saved[segment], saved[total + segment])
 
 
 def _own_sets(left, right, n: int):
@@ -190,7 +224,7 @@ def _own_sets(left, right, n: int):
 
     keep = pc.and_(pc.is_valid(left.column("id")), pc.is_in(left.column("id"), right.filter(pc.is_null(right.column("bucket"))).column("id")))
     left = left.filter(pc.fill_null(keep, False))
-    grams, bounds = shingle_sets(*text_buffer(left.column("text")), n)
+    grams, bounds = _sets(*text_buffer(left.column("text")), n)
     return left.column("id").to_numpy(), grams, bounds
 
 
@@ -203,7 +237,20 @@ def _ask(n: int, bands: Bands, bits: int):
     return run
 
 
-CANDIDATES = "key long, id long, n int, asks boolean, deleted boolean, grams binary"
+CANDIDATES = "key long, id long, n int, asks boolean, deleted boolean, sketch binary"
+#: Counters of a sketch, by the size of the set up to which they do.
+SKETCHES = ((150, 32), (1500, 64), (1 << 62, 256))
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Elements counted by their leading bits, at most 255 each: two sets differ in at least as many elements as their
+    counts do. Longer sketches fold to shorter ones."""
+    k = next(k for most, k in SKETCHES if len(grams) < most)
+    return np.minimum(np.bincount((grams >> np.uint64(65 - k.bit_length())).astype(np.int64), minlength=k), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: np.ndarray, k: int) -> np.ndarray:
+    return np.minimum(counts.reshape(len(counts), k, -1).sum(axis=2, dtype=np.int64), 255)
 
 
 def _candidates(n: int, bands: Bands, bits: int):
@@ -226,7 +273,7 @@ def _candidates(n: int, bands: Bands, bits: int):
             "key": pa.concat_arrays([pa.array(keys["key"][hit].view(np.int64)), pa.nulls(none, pa.int64())]),
             "id": pa.array(np.concatenate([ids[row], ids[own]]) if total else np.zeros(0, np.int64), pa.int64()),
             "n": pa.array(np.concatenate([size[row], size[own]]), pa.int32()), "asks": flags(asks), "deleted": flags(keys["deleted"]),
-            "grams": pa.concat_arrays([pa.nulls(len(hit), pa.binary()), pa.array([grams[bounds[r] : bounds[r + 1]].tobytes() for r in own], pa.binary())]),
+            "sketch": pa.concat_arrays([pa.nulls(len(hit), pa.binary()), pa.array([sketch(grams[bounds[r] : bounds[r + 1]]) for r in own], pa.binary())]),
         })
 
     return run
@@ -252,20 +299,137 @@ def _verified(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u")
-    both = left.join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(_verified(percent), "u long, v long, linked boolean")
+def _alike(percent: int):
+    """Pairs whose sketches don't rule them out."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            kind = np.array([len(x) * 1000 + len(y) for x, y in zip(a, b, strict=True)])
+            differ = np.zeros(len(kind), np.int64)
+            for one in np.unique(kind):
+                own = np.flatnonzero(kind == one)
+                k = min(divmod(int(one), 1000))
+                x, y = (folded(np.frombuffer(b"".join([c[i] for i in own]), np.uint8).reshape(len(own), -1), k) for c in (a, b))
+                differ[own] = np.abs(x - y).sum(axis=1)
+            size = batch.column("n").to_numpy().astype(np.int64)
+            keep = pa.array(differ <= size * (100 - percent) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+
+    return run
+
+
+def _sets_of(n: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch, data, offsets in _slices(whole):
+                grams, bounds = shingle_sets(data, offsets, n)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "grams"])
+
+    return run
 
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs that may be linked, from rows x and y: not both by deletion, one of them asks, sizes near."""
+def _verify(pairs: DataFrame, sketches: DataFrame, plain: DataFrame, n: int, percent: int) -> DataFrame:
+    """Which pairs are linked. Sketches refute most false pairs, exactly; of the others the full sets are compared, made
+    anew from the texts that it takes."""
+    both = pairs.join(sketches.select(F.col("id").alias("u"), F.col("n").alias("n1"), F.col("sketch").alias("a")), "u")
+    both = both.join(sketches.select(F.col("id").alias("v"), F.col("n").alias("n2"), F.col("sketch").alias("b")), "v")
+    alike, first = stored(both.select("u", "v", (F.col("n1") + F.col("n2")).alias("n"), "a", "b").mapInArrow(_alike(percent), "u long, v long"))
+    ids, second = stored(alike.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    sets, third = stored(plain.join(ids, "id").mapInArrow(_sets_of(n), "id long, grams binary"))
+    left = alike.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u")
+    full = left.join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
+    links = full.select("u", "v", "a", "b").mapInArrow(_verified(percent), "u long, v long, linked boolean").filter("linked").select("u", "v").distinct().checkpoint()
+    forget(plain.sparkSession, first, second, third)
+    return links
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows x and y that may be linked: not both by deletion, sizes near, and the one with the greater id asks. (Each of
+    two linked sets meets the other in a key that it asks with, so one asker is enough.)"""
     near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = rows.filter((F.col("x.id") != F.col("y.id")) & (F.col("x.asks") | F.col("y.asks")) & ~(F.col("x.deleted") & F.col("y.deleted")) & near)
-    return met.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
+    asks = F.when(F.col("x.id") > F.col("y.id"), F.col("x.asks")).otherwise(F.col("y.asks"))
+    return rows.filter((F.col("x.id") != F.col("y.id")) & asks & ~(F.col("x.deleted") & F.col("y.deleted")) & near)
+
+
+#: Documents of a key's group that are compared in one task; larger groups are cut into blocks, every two of which meet.
+BLOCK = 2000
+
+
+def _apart(percent: int):
+    """From rows sorted by group (key, lo, hi): pairs of unlike components that may be linked and that sketches don't rule
+    out. Rows come in batches; a group is worked on when its last row has come."""
+
+    def pairs(t) -> tuple[np.ndarray, np.ndarray]:
+        key, lo, hi, block, ids, n, c = (t.column(x).to_numpy() for x in ("key", "lo", "hi", "block", "id", "n", "c"))
+        asks, gone = (t.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "deleted"))
+        raw = t.column("sketch").to_pylist()
+        length = np.array([len(x) for x in raw])
+        counts = {}
+        for k in (32, 64, 256):
+            counts[k] = np.zeros((len(raw), k), np.int16)
+            for have in np.unique(length[length >= k]):
+                own = np.flatnonzero(length == have)
+                counts[k][own] = folded(np.frombuffer(b"".join([raw[i] for i in own]), np.uint8).reshape(len(own), -1), k)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        starts = np.flatnonzero(new)
+        end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
+        i, found = np.arange(len(key)), []
+        for d in range(1, len(key)):
+            i = i[i + d < end[i]]
+            if not len(i):
+                break
+            j = i + d
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (c[i] != c[j]) & (ids[i] != ids[j]) & np.where(ids[i] > ids[j], asks[i], asks[j]) & ~(gone[i] & gone[j]) & (100 * small >= percent * large)
+            ok &= (lo[i] == hi[i]) | (block[i] != block[j])
+            x, y = i[ok], j[ok]
+            for k in counts:
+                own = np.flatnonzero(np.minimum(length[x], length[y]) == k)
+                differ = np.abs(counts[k][x[own]] - counts[k][y[own]]).sum(axis=1, dtype=np.int64)
+                near = own[differ <= (n[x[own]] + n[y[own]]) * (100 - percent) // (100 + percent)]
+                found.append(np.stack([np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])], axis=1))
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return both[:, 0], both[:, 1]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rest = None
+        made = lambda t: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(t.combine_chunks())], names=["u", "v"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            last = [t.column(x)[t.num_rows - 1].as_py() for x in ("key", "lo", "hi")]
+            same = np.ones(t.num_rows, bool)
+            for x, v in zip(("key", "lo", "hi"), last, strict=True):
+                same &= t.column(x).to_numpy() == v
+            cut = int(np.argmax(same))
+            rest = t.slice(cut)
+            if cut:
+                yield made(t.slice(0, cut))
+        if rest is not None:
+            yield made(rest)
+
+    return run
+
+
+def _nearest(rows: DataFrame, percent: int) -> DataFrame:
+    """One pair for each document x: with the y that it shares the most keys with."""
+    shared = _met(rows, percent).groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("n"))
+    best = shared.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y"))
+    return best.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, chunk_bytes: int = sk.CHUNK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key reachable by links), set_id (smallest key with an equal set)."""
     if n > len(_PLACES):
         raise ValueError(f"n is at most {len(_PLACES)}")
@@ -285,21 +449,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     said = sk.answers(asked).select("chunk", F.lit(None).cast("long").alias("id"), "bucket", "counts").unionByName(firsts)
     found = by_chunk.cogroup(said.groupBy("chunk")).applyInArrow(_candidates(n, bands, bits), CANDIDATES)
     found, path = stored(found)
-    sets = found.filter("grams is not null").select("id", "grams")
+    sketches = found.filter("sketch is not null").select("id", "n", "sketch")
     item = F.struct("id", "n", "asks", "deleted")
     rows = found.filter("key is not null").select("key", item.alias("x"))
     ends = rows.groupBy("key").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.max("x.asks").alias("asked"))
     ends = ends.filter(F.col("asked") & (F.col("least.id") != F.col("most.id")))
     stars = rows.join(ends, "key").select("x", F.explode(F.array("least", "most")).alias("y"))
-    tested = _verify(_pairs(stars, percent), sets, percent).checkpoint()
-    links = tested.filter("linked").select("u", "v")
+    tested = _nearest(stars, percent).checkpoint()
+    links = _verify(tested, sketches, plain, n, percent)
     label = components(links)
     # groups that are still in parts: what of them is apart is compared pair by pair
     told = rows.join(label.withColumnRenamed("id", "own"), F.col("x.id") == F.col("own"), "left").select("key", "x", F.coalesce("component", F.col("x.id")).alias("c"))
-    parts = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("x.asks").alias("asked")).filter("low <> high and asked").select("key")
-    told = told.join(parts, "key")
-    apart = told.join(told.select("key", F.col("x").alias("y"), F.col("c").alias("d")), "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("c") != F.col("d")))
-    more = _verify(_pairs(apart, percent).join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets, percent).filter("linked").select("u", "v").checkpoint()
+    parts = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("x.asks").alias("asked"), F.count("*").alias("size"))
+    parts = parts.filter("low <> high and asked").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    told = told.join(parts, "key").select("key", "blocks", "x.*", "c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    told = told.join(sketches.select("id", "sketch"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    told = told.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "asks", "deleted", "c", "sketch")
+    apart = told.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id").mapInArrow(_apart(percent), "u long, v long").distinct()
+    more = _verify(apart.join(tested, ["u", "v"], "left_anti"), sketches, plain, n, percent)
     label = components(links.unionByName(more)) if not more.isEmpty() else label
     forget(spark, path)
     owner = sets_of.select("a", "b", "n", F.col("one.id").alias("set_id")).join(label.withColumnRenamed("id", "set_id"), "set_id", "left")
