@@ -44,11 +44,39 @@ def assign_elevations(nodes: DataFrame, parents: DataFrame, base: int, changes:
     return nodes.select(key, "id").join(seen.select(key, "id", "elevation"), [key, "id"], "left")
 
 
-def components(edges: DataFrame, key: str = "project") -> DataFrame:
+#: Up to so many edges a task finds a project's components by itself.
+FEW_EDGES = 200_000
+
+
+def _joined(key: str):
+    def run(pdf):
+        import pandas as pd
+
+        up: dict = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for u, v in zip(pdf["u"], pdf["v"], strict=True):
+            a, b = sorted((top(u), top(v)))
+            up[b] = a
+        ids = list(up)
+        return pd.DataFrame({key: pdf[key].iloc[0], "id": ids, "component": [top(x) for x in ids]})
+
+    return run
+
+
+def components(edges: DataFrame, key: str = "project", few: int = FEW_EDGES) -> DataFrame:
     """Connected components of (key, u, v): (key, id, component), component the least id. Nodes hook to their least
     neighbour and edges contract; after the first round, which is enough for stars, pointers are doubled three times
-    before, so a chain shrinks to an eighth."""
+    before, so a chain shrinks to an eighth. Few edges, as counted, need no rounds: a task per project joins them."""
     e = _checkpointed(edges.filter("u <> v").select(key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if e.count() <= few:
+        kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+        return e.groupBy(key).applyInPandas(_joined(key), f"{key} {kinds[key]}, id {kinds['u']}, component {kinds['u']}")
     label = _checkpointed(e.select(key, F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")))
     first = True
     while not e.isEmpty():

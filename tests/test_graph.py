@@ -13,5 +13,6 @@ def test_components_of_chains_and_stars(spark):
     for p, u, v in edges:
         a, b = sorted((find((p, u)), find((p, v))))
         comp[b] = a
-    got = graph.components(spark.createDataFrame(edges, "project int, u long, v long")).collect()
-    assert sorted((g.project, g.id, g.component) for g in got) == sorted((*x, find(x)[1]) for x in comp)
+    for few in (0, 1000):
+        got = graph.components(spark.createDataFrame(edges, "project int, u long, v long"), few=few).collect()
+        assert sorted((g.project, g.id, g.component) for g in got) == sorted((*x, find(x)[1]) for x in list(comp))
