@@ -51,22 +51,25 @@ def plan(notices: tuple, every: int) -> list[tuple]:
     for notice, label in notices:
         n, k = len(notice), len(notice) // every
         cuts = [n * i // (k + 1) for i in range(k + 2)]
-        pieces = [(notice[a:b].encode(), a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        pieces = [(notice[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
         # (?e) mends a match that was found to fewer edits; whole words at both ends
-        out.append((label, n, k, pieces, regex.compile(rf"(?e)(?<= )(?:{regex.escape(notice)}){{e<={k}}}(?= )", regex.V1) if k else None, notice.encode()))
+        out.append((label, n, k, pieces, regex.compile(rf"(?e)(?<= )(?:{regex.escape(notice)}){{e<={k}}}(?= )", regex.V1) if k else None, notice))
     return out
 
 
 def search(text: bytes, notices=tuple(NOTICES), every: int = EDIT_EVERY) -> list[tuple[int, int, str, int, int]]:
     """Matches in a folded text: start and end (bytes), label, edits, length of the notice."""
     found = []
+    # edits are counted in characters, which an edit can lengthen to four bytes, so windows are cut in characters
+    whole = text.decode()
+    place = (lambda at: at) if text.isascii() else (lambda at: len(whole[:at].encode()))
     for label, n, k, pieces, expression, exact in plan(notices, every):
         areas: list[list[int]] = []
         for piece, offset in pieces:
-            at = text.find(piece)
+            at = whole.find(piece)
             while at >= 0:
-                areas.append([max(0, at - offset - k - 1), min(len(text), at - offset + n + k + 1)])
-                at = text.find(piece, at + 1)
+                areas.append([max(0, at - offset - k - 1), min(len(whole), at - offset + n + k + 1)])
+                at = whole.find(piece, at + 1)
         if not areas:
             continue
         areas.sort()
@@ -79,14 +82,12 @@ def search(text: bytes, notices=tuple(NOTICES), every: int = EDIT_EVERY) -> list
         own = []
         for a, b in merged:
             if expression is None:
-                at = text.find(b" " + exact + b" ", a, b)
+                at = whole.find(f" {exact} ", a, b)
                 if at >= 0:
-                    own.append((at + 1, at + 1 + n, label, 0, n))
+                    own.append((place(at + 1), place(at + 1 + n), label, 0, n))
                 continue
-            # expressions count characters, so the area is decoded; its ends may cut a character
-            area = text[a:b].decode(errors="replace")
-            for m in expression.finditer(area, overlapped=True):
-                own.append((a + len(area[: m.start()].encode()), a + len(area[: m.end()].encode()), label, sum(m.fuzzy_counts), n))
+            for m in expression.finditer(whole[a:b], overlapped=True):
+                own.append((place(a + m.start()), place(a + m.end()), label, sum(m.fuzzy_counts), n))
         taken: list[tuple] = []
         for m in sorted(own, key=lambda m: (m[3], m[0])):
             if all(m[1] <= t[0] or m[0] >= t[1] for t in taken):

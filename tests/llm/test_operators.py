@@ -200,6 +200,24 @@ def test_seeds_lose_no_match():
             assert label in {m[2] for m in notices.search(notices.folded("some words " + near + " and more"))}, near
 
 
+def test_seeds_lose_no_match_with_long_characters():
+    """Edits count characters, however many bytes each has; spans are bytes, also where a window's end is in such a text."""
+    t = notices.folded("all rights re\ufffder\ufffded")
+    assert notices.search(t) == [(1, len(t) - 1, "reserved", 2, 19)]
+    r = random.Random(9)
+    for notice, label in notices.NOTICES:
+        for _ in range(20):
+            s = list(notice)
+            for _ in range(len(notice) // notices.EDIT_EVERY):
+                k = r.randrange(1, len(s) - 1)
+                s[k : k + r.randrange(2)] = r.choice(["\u00ad", "\u00e9", "\ufffd", "\U0001f600"])
+            for around in ("some words", "\u00e9\ufffd\U0001f600"):
+                before = notices.folded(around)
+                t = notices.folded(f"{around} {''.join(s)} {around}")
+                own = [m for m in notices.search(t) if m[2] == label]
+                assert any(m[0] <= len(before) + 8 and t[m[0] - 1 : m[0]] == t[m[1] : m[1] + 1] == b" " for m in own), s
+
+
 def test_notice_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
     for g in notices.op3_license_scan(spark, D).collect():
