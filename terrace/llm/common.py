@@ -101,6 +101,16 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def row_keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
+    """The table with a column that tells its rows apart, and that column's name: the key itself if no row lacks or repeats
+    it, else numbers. Numbers are given as rows come, so the numbered table is stored: made anew, rows could come otherwise."""
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys")).first()
+    if n["rows"] == n["keys"]:
+        return docs, key
+    row = max(docs.columns, key=len) + "_row"
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()))[0], row
+
+
 def components(nodes_edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (id, component) for each id in an edge, component the smallest id.
 

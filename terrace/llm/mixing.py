@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, ensure_checkpoint_dir, table, word_starts, text_buffer
+from .common import WORDS, ensure_checkpoint_dir, row_keyed, table, word_starts, text_buffer
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -36,12 +36,14 @@ def _counted(batches: Iterator) -> Iterator:
 
     for b in batches:
         *_, n = word_starts(*text_buffer(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(n, pa.int64())], names=["id", "source", "size"])
+        names = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "size"])
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(_counted, "id long, source string, size long")
+def sized(docs: DataFrame, key: str, text: str, source: str, row: str | None = None) -> DataFrame:
+    more = [F.col(row).cast("long").alias("row")] if row else []
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), *more, F.col(text).cast("string").alias("text"))
+    return plain.mapInArrow(_counted, f"id long, source string,{' row long,' if row else ''} size long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -63,10 +65,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return x.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per row of docs: key, size, source_size, target, taken, epochs (whole repetitions), extra (words of a partial one)."""
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """Per row of docs: key, size, source_size, target, taken, epochs (whole repetitions), extra (words of a partial one);
+    and row, a column of numbers that tells rows of one key apart, if it is named."""
     ensure_checkpoint_dir(docs.sparkSession)
-    base = sized(docs, key, text, source)
+    base = sized(docs, key, text, source, row)
+    own = ["row"] if row else []
     named = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     h = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     base = base.withColumns({"named": named, "h": h, "bucket": F.substring(h, 1, DIGITS)}).checkpoint()
@@ -74,7 +78,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sources = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     sources = sources.withColumn("named", named).drop("source")
     sums = buckets.withColumn("start", F.sum("words").over(Window.partitionBy("named").orderBy("bucket")) - F.col("words")).select("named", "bucket", "start")
-    within = F.sum("size").over(Window.partitionBy("named", "bucket").orderBy("h", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("named", "bucket").orderBy("h", F.col("id").asc_nulls_last(), "size", *own).rowsBetween(Window.unboundedPreceding, 0))
     rows = base.withColumn("upto", within).join(sums, ["named", "bucket"]).join(sources, "named")
     rows = rows.withColumn("start", F.col("start") + F.col("upto") - F.col("size"))
     rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -85,13 +89,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return rows.select(
         F.col("id").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"),
         (F.col("whole") + F.when(full, 1).otherwise(0)).cast("long").alias("epochs"), F.when(full, 0).otherwise(more).cast("long").alias("extra"),
+        *(F.col(c).alias(row) for c in own),
     )
 
 
 def repeated(docs: DataFrame, **names) -> DataFrame:
     """The mixed documents: each as often as the mix takes it, a partial repetition cut after its words."""
-    took = mix(docs, **names).select(F.col("doc_id").alias("taken_id"), "epochs", "extra").dropDuplicates(["taken_id"])
-    rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    keyed, row = row_keyed(docs)
+    took = mix(keyed, row=None if row == "doc_id" else row, **names).select(F.col(row).alias("taken_id"), "epochs", "extra")
+    rows = keyed.join(took, F.col(row) == F.col("taken_id"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORDS), 0)
     part = F.array_join(F.slice(words, F.lit(1), F.col("extra").cast("int")), "")
     copies = F.concat(F.array_repeat(F.col("text"), F.col("epochs").cast("int")), F.when(F.col("extra") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))

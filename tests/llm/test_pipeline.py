@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 import sentencepiece
 
-from terrace.llm import pieces, toxicity
+from terrace.llm import mixing, pieces, toxicity
 from test_operators import SPACE, D, brute_components
 
 
@@ -41,3 +41,35 @@ def test_stages(spark):
             want = sorted((r.doc_id, hashlib.sha256(" ".join(map(str, sp.encode(r.text or "", add_eos=True))).encode()).hexdigest()) for r in before)
             assert sorted((r.doc_id, r.ids_sha256) for r in after) == want
     assert corpus_pipeline.run(spark, D).count() == len(after)
+
+
+def test_verdicts_are_on_rows(spark):
+    """Null and repeated ids: each text's first row stays, and no other row passes by that row's id."""
+    near = [f"w{k}" for k in range(60)]
+    a, b = " ".join(near), " ".join([*near[:59], "other"])
+    rows = [
+        (None, "x y"), (None, "x  y"), (None, "alone"), (None, "has an id"), (4, "has an id"), (None, None), (None, ""),  # exact copies among null ids, and of a row with an id
+        (7, "kept"), (7, "dropped"), (3, "dropped"), (7, "kept"),  # one id, a text that stays and one that goes; a repeated row
+        (None, a), (None, b), (None, " ".join(f"v{k}" for k in range(60))), (9, " ".join(f"v{k}" for k in range(59)) + " u"), (2, "apart"), (2, a + " more"),
+    ]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
+    exact = corpus_pipeline.exact_dedup(spark, docs, D)
+    assert exact.columns == docs.columns
+    got = sorted((r.doc_id or 0, SPACE.sub(" ", r.text or "")) for r in exact.collect())
+    assert got == sorted([(0, "x y"), (0, "alone"), (4, "has an id"), (0, ""), (7, "kept"), (3, "dropped"), *((i or 0, t) for i, t in rows[11:])])
+    left = corpus_pipeline.near_dedup(spark, exact, D)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id or 0, SPACE.sub(" ", r.text or "")) for r in left.collect())
+    assert got == sorted([(0, "x y"), (0, "alone"), (4, "has an id"), (0, ""), (7, "kept"), (3, "dropped"), (9, rows[14][1]), (2, "apart"), (2, a + " more")])
+
+
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
+    rows = [(None if k % 3 == 0 else k % 7, " ".join(f"w{j}" for j in range(k % 23)), f"s{k % 4}") for k in range(300)]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
+    target = {g.source: g.target for g in mixing.targets(mixing.sized(docs, "doc_id", "text", "source").groupBy("source").agg({"size": "sum"}).withColumnRenamed("sum(size)", "source_size")).collect()}
+    words = {}
+    out = corpus_pipeline.mixing(spark, docs, D)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert all(abs(words.get(s, 0) - t) <= 1 for s, t in target.items()), (words, target)
