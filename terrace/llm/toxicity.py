@@ -124,13 +124,14 @@ class Model:
                 out.append((clause, score))
         return out
 
-    def features(self, text: str) -> list[float]:
-        scores = [s for _, s in self.clauses(text)]
+    def features(self, text: str, clauses: list[tuple[str, float]] | None = None) -> list[float]:
+        scores = [s for _, s in (self.clauses(text) if clauses is None else clauses)]
         total = sum(scores)
         return [1.0, log1p(total), log1p(max(scores, default=0.0)), log1p(500 * total / (20 + len(text)))]
 
-    def score(self, text: str) -> float:
-        z = sum(a * b for a, b in zip(self.curve, self.features(text), strict=True))
+    def score(self, text: str, clauses: list[tuple[str, float]] | None = None) -> float:
+        """clauses: those of the text, if they are known."""
+        z = sum(a * b for a, b in zip(self.curve, self.features(text, clauses), strict=True))
         return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
@@ -202,8 +203,11 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
-            scores = [model.score(t) for t in texts]
-            n = [len(model.clauses(t)) if s > threshold / 3 else 0 for t, s in zip(texts, scores, strict=True)]
+            scores, n = [], []
+            for t in texts:
+                clauses = model.clauses(t)
+                scores.append(model.score(t, clauses))
+                n.append(len(clauses))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(n, pa.int64())], names=["id", "score", "n"])
 
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))

@@ -257,6 +257,15 @@ def test_toxicity_rows(spark):
     assert toxicity.score_documents(docs.limit(0), toxicity.learned(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_matching_clauses_are_counted_at_every_score(spark):
+    """Also of documents far below the threshold."""
+    model = toxicity.Model(curve=(-20.0, 1.5, 0.5, 0.5))
+    docs = table(spark, [(1, "you idiot. fine words. kill it!", "s"), (2, "fine words", "s"), (3, None, "s")])
+    got = toxicity.score_documents(docs, model).collect()
+    assert [(g.predicted, g.n_clauses) for g in got] == [(0, 2), (0, 0), (0, 0)]
+    assert [g.score for g in got] == [model.score(t) for t in ("you idiot. fine words. kill it!", "fine words", "")]
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = toxicity.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out and toxic is not null")
