@@ -72,11 +72,18 @@ def _joined(key: str):
 def components(edges: DataFrame, key: str = "project", few: int = FEW_EDGES) -> DataFrame:
     """Connected components of (key, u, v): (key, id, component), component the least id. Nodes hook to their least
     neighbour and edges contract; after the first round, which is enough for stars, pointers are doubled three times
-    before, so a chain shrinks to an eighth. Few edges, as counted, need no rounds: a task per project joins them."""
+    before, so a chain shrinks to an eighth. Few edges, as counted, need no rounds: a task per project joins them. Edges of
+    a null key are a project of their own."""
     e = _checkpointed(edges.filter("u <> v").select(key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if e.count() <= few:
         kinds = {f.name: f.dataType.simpleString() for f in e.schema}
         return e.groupBy(key).applyInPandas(_joined(key), f"{key} {kinds[key]}, id {kinds['u']}, component {kinds['u']}")
+
+    def joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+        """Null-safe in the key; the right side's columns of the join go."""
+        other = right.withColumnsRenamed({key: "other_key", on: "other_on"})
+        return left.join(other, F.col(key).eqNullSafe(F.col("other_key")) & (F.col(on) == F.col("other_on")), how).drop("other_key", "other_on")
+
     label = _checkpointed(e.select(key, F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")))
     first = True
     while not e.isEmpty():
@@ -84,9 +91,9 @@ def components(edges: DataFrame, key: str = "project", few: int = FEW_EDGES) ->
         hook = _checkpointed(both.groupBy(key, F.col("u").alias("node")).agg(F.min("v").alias("m")).select(key, "node", F.least("m", "node").alias("to")))
         for _ in range(0 if first else 3):
             on = hook.select(key, F.col("node").alias("to"), F.col("to").alias("beyond"))
-            hook = _checkpointed(hook.join(on, [key, "to"]).select(key, "node", F.col("beyond").alias("to")))
+            hook = _checkpointed(joined(hook, on, "to").select(key, "node", F.col("beyond").alias("to")))
         first = False
-        label = _checkpointed(label.join(hook.withColumnRenamed("node", "component"), [key, "component"], "left").select(key, "id", F.coalesce("to", "component").alias("component")))
-        moved = e.join(hook.select(key, F.col("node").alias("u"), F.col("to").alias("a")), [key, "u"]).join(hook.select(key, F.col("node").alias("v"), F.col("to").alias("b")), [key, "v"])
+        label = _checkpointed(joined(label, hook.withColumnRenamed("node", "component"), "component", "left").select(key, "id", F.coalesce("to", "component").alias("component")))
+        moved = joined(joined(e, hook.select(key, F.col("node").alias("u"), F.col("to").alias("a")), "u"), hook.select(key, F.col("node").alias("v"), F.col("to").alias("b")), "v")
         e = _checkpointed(moved.filter("a <> b").select(key, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     return label

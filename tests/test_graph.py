@@ -16,3 +16,11 @@ def test_components_of_chains_and_stars(spark):
     for few in (0, 1000):
         got = graph.components(spark.createDataFrame(edges, "project int, u long, v long"), few=few).collect()
         assert sorted((g.project, g.id, g.component) for g in got) == sorted((*x, find(x)[1]) for x in list(comp))
+
+
+def test_components_of_a_null_project(spark):
+    edges = [(None, 1, 2), (None, 3, 2), (None, 9, 8), (0, 2, 7)] + [(None, k, k + 1) for k in range(20, 40)]
+    want = sorted([(-1, 1, 1), (-1, 2, 1), (-1, 3, 1), (-1, 8, 8), (-1, 9, 8), (0, 2, 2), (0, 7, 2)] + [(-1, k, 20) for k in range(20, 41)])
+    for few in (0, 1000):
+        got = graph.components(spark.createDataFrame(edges, "project int, u long, v long"), few=few).collect()
+        assert sorted((-1 if g.project is None else g.project, g.id, g.component) for g in got) == want
