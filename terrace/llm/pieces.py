@@ -1,12 +1,11 @@
 """SentencePiece encoding that keeps offsets, and decoding.
 
-Normalisation is the library's: at each place the longest prefix that the compiled character map has (a double-array
-trie over UTF-8) is replaced, else one character is kept; each normalised character records the bytes of the source it
-stands for, so every piece can be projected to a byte span of the original text. Spaces become U+2581.
-
-The library segments the normalised text. Where the map is empty and no U+2581 is in the text itself, each normalised
-character stands for its own bytes, and spans are running sums of the pieces' lengths; else the recorded alignment is
-walked.
+``normalise`` does what the library's normaliser does: at each place the longest prefix that the compiled character map has
+(a double-array trie over UTF-8) is replaced, else one character is kept, and spaces become U+2581; it records for each
+normalised character the bytes of the source that it stands for. The normalised text is what is segmented, by a copy of the
+model whose own normaliser is off; the pieces' lengths are running places in the normalised text, whose alignment projects
+them to byte spans of the original text. Where the map is empty each character stands for its own bytes, and the alignment
+is made for a whole text at once.
 
 Byte pieces of a character that the model doesn't have: the last one spans the character, those before it are empty at
 its start, as in the library.
@@ -83,16 +82,40 @@ class Pieces:
             model.ParseFromString(f.read())
         spec = model.normalizer_spec
         self.map = CharsMap(spec.precompiled_charsmap)
-        self.prefix, self.strip = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.strip = spec.remove_extra_whitespaces
+        if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models that write spaces otherwise are not handled")
+        self.prefix = spec.add_dummy_prefix
         self.pieces = [p.piece for p in model.pieces]
-        self.is_byte = [p.type == 6 for p in model.pieces]
-        self.byte_ids = frozenset(i for i, x in enumerate(self.is_byte) if x)
-        #: Source bytes of a piece where U+2581 stands for a space and a byte piece for its byte.
-        self.n_bytes = np.array([1 if b else len(x.replace(BAR, " ").encode()) for x, b in zip(self.pieces, self.is_byte, strict=True)])
-
-    def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
-        """Normalised text, and per character the bytes of the source from and to which it stands for."""
+        is_byte = np.array([p.type == 6 for p in model.pieces])
+        self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == 2), -1)
+        #: Characters of a piece; a byte piece ends its character only if no further byte of it follows (see ``lengths``).
+        self.n_chars = np.array([1 if b else len(x) for x, b in zip(self.pieces, is_byte, strict=True)])
+        #: Byte pieces that go on a character: 0x80 to 0xBF.
+        self.goes_on = np.array([bool(b) and 0x80 <= int(x[3:5], 16) < 0xC0 for x, b in zip(self.pieces, is_byte, strict=True)])
+        # the same segmentation without a normaliser: it gets texts that are normalised
+        spec.precompiled_charsmap = b""
+        spec.remove_extra_whitespaces = False
+        spec.add_dummy_prefix = False
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+    def normalise(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
+        """Normalised text, and per character the bytes of the source from and to which it stands for. The space that the
+        model puts before a text stands for nothing, at its start."""
         data = text.encode()
+        if not self.map.units and not self.strip:
+            raw = np.frombuffer(data, np.uint8)
+            begin = np.flatnonzero((raw & 0xC0) != 0x80)
+            end = np.append(begin[1:], len(data)) if len(begin) else begin
+            out = text.replace(" ", BAR)
+        else:
+            out, begin, end = self._mapped(data)
+        if self.prefix and out:
+            at = begin[:1] if self.strip else np.zeros(1, np.int64)
+            return BAR + out, np.concatenate([at, begin]), np.concatenate([at, end])
+        return out, begin, end
+
+    def _mapped(self, data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
         out: list[str] = []
         begin: list[int] = []
         end: list[int] = []
@@ -113,63 +136,34 @@ class Pieces:
             keep = [i for i, c in enumerate(out) if c != BAR or (i and out[i - 1] != BAR)]
             while keep and out[keep[-1]] == BAR:
                 keep.pop()
+            while keep and out[keep[0]] == BAR:
+                keep.pop(0)
             out, begin, end = ([x[i] for i in keep] for x in (out, begin, end))
-        return "".join(out), begin, end
-
-    def project(self, ids: list[int], begin: list[int], end: list[int], lead: int) -> tuple[list[int], list[int]]:
-        """Spans of ids over normalised characters; lead: characters at the start that the source doesn't have."""
-        b, e, at, i = [], [], -lead, 0
-        n = len(begin)
-        while i < len(ids):
-            if self.is_byte[ids[i]]:
-                first = int(self.pieces[ids[i]][3:5], 16)
-                k = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-                x, y = (begin[at], end[at]) if 0 <= at < n else (0, 0)
-                b += [x] * k
-                e += [x] * (k - 1) + [y]
-                at, i = at + 1, i + k
-                continue
-            to = at + len(self.pieces[ids[i]])
-            b.append(begin[max(at, 0)] if max(at, 0) < n else (end[-1] if n else 0))
-            e.append(end[to - 1] if to > 0 else b[-1])
-            at, i = to, i + 1
-        return b, e
-
-    def encode_ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, no end id."""
-        return self.sp.encode(texts, num_threads=1)
-
-    def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
-        """First and last byte (exclusive) in the original text of each piece."""
+        return "".join(out), np.array(begin, np.int64), np.array(end, np.int64)
+
+    def lengths(self, normal: str, ids: np.ndarray) -> np.ndarray:
+        """Normalised characters of each piece; of a character's byte pieces the last one has it."""
+        if self.unknown >= 0 and (ids == self.unknown).any():
+            return np.array([len(x) for x in self.segmenter.encode(normal, out_type=str)], np.int64)
+        n = self.n_chars[ids]
+        on = self.goes_on[ids]
+        n[:-1][on[1:]] = 0
+        return n
+
+    def project(self, normal: str, begin: np.ndarray, end: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte (exclusive) in the original text of each piece of a normalised text."""
         if not ids:
-            return [], []
-        if self.map.units or self.strip or BAR in text:
-            _, begin, end = self.normalise(text)
-            return self.project(ids, begin, end, int(self.prefix))
-        # without a character map each normalised character stands for its own bytes, and U+2581 for one space
-        n = self.n_bytes[np.asarray(ids, np.int64)]
-        end = np.cumsum(n)
-        end -= int(self.prefix)
-        begin = end - n
-        begin[0] = 0
-        begin, end = begin.tolist(), end.tolist()
-        if not self.byte_ids.isdisjoint(ids):
-            i = 0
-            while i < len(ids):
-                if self.is_byte[ids[i]]:
-                    first = int(self.pieces[ids[i]][3:5], 16)
-                    k = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-                    at = begin[i]
-                    begin[i : i + k] = [at] * k
-                    end[i : i + k] = [at] * (k - 1) + [at + k]
-                    i += k
-                else:
-                    i += 1
-        return begin, end
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int], list[int]]]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n = self.lengths(normal, np.asarray(ids, np.int64))
+        to = np.cumsum(n)
+        first = np.minimum(to - n, len(begin) - 1)
+        return begin[first], np.where(n > 0, end[np.maximum(to - 1, 0)], begin[first])
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
         """Per text: ids, and the first and the last byte (exclusive) of each; no end id."""
-        return [(ids, *self.spans(t, ids)) for t, ids in zip(texts, self.encode_ids(texts), strict=True)]
+        normal = [self.normalise(t) for t in texts]
+        ids = self.segmenter.encode([x[0] for x in normal], num_threads=1)
+        return [(i, *self.project(*x, i)) for x, i in zip(normal, ids, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1)
@@ -219,8 +213,8 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
                 size = [len(t.encode()) for t in own]
                 yield pa.RecordBatch.from_arrays([
                     keys.take(pa.array(part)), pa.array(whole, pa.list_(pa.int32())),
-                    pa.array([c[1] + [n] for c, n in zip(coded, size, strict=True)], pa.list_(pa.int32())),
-                    pa.array([c[2] + [n] for c, n in zip(coded, size, strict=True)], pa.list_(pa.int32())), pa.array(p.decode(whole), pa.string()),
+                    pa.array([np.append(c[1], n) for c, n in zip(coded, size, strict=True)], pa.list_(pa.int32())),
+                    pa.array([np.append(c[2], n) for c, n in zip(coded, size, strict=True)], pa.list_(pa.int32())), pa.array(p.decode(whole), pa.string()),
                 ], names=["id", "ids", "begins", "ends", "decoded"])
 
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -245,7 +239,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                     keys.take(pa.array(part)), pa.array([len(x) for x in whole], pa.int64()),
                     pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in whole]),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in p.decode(whole)]),
-                    pa.array([c[2][-1] - c[1][0] if c[1] else 0 for c in coded], pa.int64()),
+                    pa.array([int(c[2][-1] - c[1][0]) if c[0] else 0 for c in coded], pa.int64()),
                 ], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
