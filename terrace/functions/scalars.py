@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 RING_TOLERANCE = 1e-6
 INTERVALS = (0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0)
 FALSE_WORDS = ("0", "false", "f", "no", "n", "nao")
-TRUE_WORDS = ("1", "true", "t", "yes", "y", "sim", "s")
+TRUE_WORDS = ("1", "true", "t", "yes", "y", "sim")
+#: Names of export units and the units they stand for; other names stand for auto.
+UNIT_NAMES = {
+    "auto": "auto", "automatico": "auto", "automático": "auto", "automatico (mm)": "auto", "automático (mm)": "auto",
+    "mm": "mm", "milimetros": "mm", "milímetros": "mm", "milimetros (mm)": "mm", "milímetros (mm)": "mm",
+    "cm": "cm", "centimetros": "cm", "centímetros": "cm", "centimetros (cm)": "cm", "centímetros (cm)": "cm",
+    "m": "m", "metros": "m", "metros (m)": "m",
+}
 UNIT_FACTORS = {"auto": 1.0, "mm": 1.0, "cm": 0.1, "m": 0.001}
+#: Millimetres of the units that measures are given in.
+UNIT_MM = {"mm": 1.0, "cm": 10.0, "m": 1000.0}
+#: Names of the priorities of a layout that mean the most use of the material.
+USAGE_NAMES = ("maximize_usage", "usage", "area", "ocupacao", "ocupação")
 
 
 def snap_elevation(value: Column, step: Column) -> Column:
@@ -69,9 +80,20 @@ def parse_int(text: Column) -> Column:
     return F.when(F.abs(value - F.rint(value)) <= 1e-9, F.rint(value).cast("long"))
 
 
-def parse_bool(text: Column) -> Column:
-    """False only for the words for no; other text is true."""
-    return ~F.lower(F.trim(text.cast("string"))).isin(*FALSE_WORDS)
+def to_float(text: Column) -> Column:
+    """A number, comma or point, finite or not; else null."""
+    return _plain_number(text).try_cast("double")
+
+
+def to_int(text: Column) -> Column:
+    """A number that is exactly whole."""
+    value = to_float(text)
+    return F.when(value == F.rint(value), value.try_cast("long"))
+
+
+def parse_bool(text: Column, default: bool = True) -> Column:
+    """False only for the words for no; other text is true, null the default."""
+    return F.coalesce(~F.lower(F.trim(text.cast("string"))).isin(*FALSE_WORDS), F.lit(default))
 
 
 def to_bool(text: Column, default: bool) -> Column:
@@ -102,12 +124,21 @@ def format_number(value: Column, digits: int = 3) -> Column:
 
 def piece_label(source_elevation: Column, elevation: Column) -> Column:
     value = F.coalesce(source_elevation, elevation)
-    return F.when(F.abs(value - F.rint(value)) < 1e-9, F.rint(value).cast("long").cast("string")).otherwise(format_number(value, 2))
+    return F.when(F.abs(value - F.rint(value)) <= 1e-6, F.rint(value).cast("long").cast("string")).otherwise(format_number(value, 2))
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def unit_name(name: Column) -> Column:
+    """The export unit that a name stands for."""
+    return F.coalesce(_looked_up(UNIT_NAMES, F.lower(F.trim(name))), F.lit("auto"))
 
 
 def unit_factor(name: Column) -> Column:
-    factors = F.create_map(*[F.lit(x) for pair in UNIT_FACTORS.items() for x in pair])
-    return F.coalesce(F.element_at(factors, F.lower(F.trim(name))), F.lit(1.0))
+    """Export units a millimetre."""
+    return _looked_up(UNIT_FACTORS, unit_name(name))
 
 
 def safe_color(value: Column) -> Column:
@@ -130,16 +161,51 @@ def sheet_columns(n: Column, width: Column, height: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.sqrt(n * height / width)).cast("int"))
 
 
-def rotation_angles(step: int) -> list[float]:
-    return [float(a) for a in range(0, 360, step)]
+def clamp(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def offset_bounds(env: Column, dx: Column, dy: Column) -> Column:
+    return F.struct((env["minx"] + dx).alias("minx"), (env["miny"] + dy).alias("miny"), (env["maxx"] + dx).alias("maxx"), (env["maxy"] + dy).alias("maxy"))
+
+
+def rotation_angles(step: Column, fitted: Column | None = None) -> Column:
+    """Angles of a lattice, with those that fit a shape, in [0, 360), six digits, each once."""
+    lattice = F.transform(F.sequence(F.lit(0), F.ceil(F.lit(360.0) / step).cast("int") - 1), lambda i: i * step)
+    every = lattice if fitted is None else F.concat(lattice, fitted)
+    return F.array_sort(F.array_distinct(F.transform(every, lambda a: F.pmod(F.round(F.pmod(a, F.lit(360.0)), 6), F.lit(360.0)))))
+
+
+def layout_priority(name: Column) -> Column:
+    return F.when(F.lower(F.trim(name.cast("string"))).isin(*USAGE_NAMES), "maximize_usage").otherwise("preserve_shapes")
+
+
+def relief_height(elevation: Column, index: Column, factor: Column) -> Column:
+    """Height in a scaled model; layers without an elevation stand at their number."""
+    return F.coalesce(elevation, index.cast("double")) * factor
+
+
+def measure_mm(value: Column, unit: Column, fallback: str = "m") -> Column:
+    """A measure, 0 at least, in millimetres."""
+    return F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)) * F.coalesce(_looked_up(UNIT_MM, unit), F.lit(UNIT_MM[fallback]))
+
+
+def ratio(left: Column, right: Column) -> Column:
+    """Of a scale left : right, each a positive number."""
+    positive = lambda c: F.greatest(c, F.lit(1e-9))
+    return positive(right) / positive(left)
+
+
+def model_measure(real_mm: Column, left: Column, right: Column, unit: Column) -> Column:
+    """A real measure on the model of a scale left : right, in a unit."""
+    return F.round(F.greatest(real_mm / ratio(left, right), F.lit(0.0)) / F.coalesce(_looked_up(UNIT_MM, unit), F.lit(1.0)), 6)
 
 
-def split_budget(priority: str, pieces: int, effort: int, whole_percent: float) -> int:
-    """How many optional splits a layout may try: up to two."""
-    if priority == "maximize_use":
-        return 0 if pieces > 60 or effort < 35 else 1 if effort < 70 else 2
-    return min(2, pieces, int(pieces * (1 - whole_percent / 100)))
+def file_measure(real_mm: Column, left: Column, right: Column, unit: Column) -> Column:
+    """A real measure in a drawing whose unit stands for left : right of a unit."""
+    return F.round(real_mm / F.greatest(ratio(left, right) * F.coalesce(_looked_up(UNIT_MM, unit), F.lit(1000.0)), F.lit(1e-9)), 6)
 
 
-def output_scale(units_to_mm: Column, denominator: Column) -> Column:
-    return units_to_mm / denominator
+def scale_denominator(real_mm: Column, model_mm: Column, left: Column) -> Column:
+    """The right side of the scale left : right at which a real measure has a given size on the model."""
+    return F.round(F.greatest(F.greatest(left, F.lit(1e-9)) * real_mm / F.greatest(model_mm, F.lit(1e-9)), F.lit(0.0001)), 6)

@@ -430,13 +430,13 @@ def segment_overlap_issues(spark, d):
     return segment_overlaps(spark, d).orderBy("a", "b").limit(20).select("a", "b", "kind")
 
 
-_TEXTS = "(SELECT p_partkey AS id, [' 12,5 ', 'nan', '', 'none', '1e3', '-7', '3.0', 'abc', '0', 'não', 'sim', 'F', '1,2,3', '4, x', ' , 5'][p_partkey % 15 + 1] AS t FROM part)"
+_TEXTS = "(SELECT p_partkey AS id, [' 12,5 ', 'nan', '', 'none', '1e3', '-7', '3.0', 'abc', '0', 'não', 'sim', 'F', '1,2,3', '4, x', ' , 5', 's', NULL][p_partkey % 17 + 1] AS t FROM part)"
 
 
 def texts(spark, d) -> DataFrame:
-    words = F.array(*map(F.lit, [" 12,5 ", "nan", "", "none", "1e3", "-7", "3.0", "abc", "0", "não", "sim", "F", "1,2,3", "4, x", " , 5"]))
+    words = F.array(*map(F.lit, [" 12,5 ", "nan", "", "none", "1e3", "-7", "3.0", "abc", "0", "não", "sim", "F", "1,2,3", "4, x", " , 5", "s", None]))
     k = F.col("p_partkey")
-    return A.read(spark, d, "part").select(k.alias("id"), F.element_at(words, (k % 15 + 1).cast("int")).alias("t"))
+    return A.read(spark, d, "part").select(k.alias("id"), F.element_at(words, (k % 17 + 1).cast("int")).alias("t"))
 
 
 _NUMBER = "try_cast(replace(trim(t), ',', '.') AS DOUBLE)"
@@ -447,7 +447,7 @@ def parse_numbers(spark, d):
     return texts(spark, d).select("id", S.parse_float(F.col("t")).alias("number"), S.parse_int(F.col("t")).alias("whole"))
 
 
-@query("parse_bools", f"SELECT id, lower(trim(t)) NOT IN ('0','false','f','no','n','nao') AS flag, CASE WHEN lower(trim(t)) IN ('0','false','f','no','n','nao','não') THEN false WHEN lower(trim(t)) IN ('1','true','t','yes','y','sim','s') THEN true ELSE true END AS strict FROM {_TEXTS}")
+@query("parse_bools", f"SELECT id, coalesce(lower(trim(t)) NOT IN ('0','false','f','no','n','nao'), true) AS flag, CASE WHEN lower(trim(t)) IN ('0','false','f','no','n','nao','não') THEN false WHEN lower(trim(t)) IN ('1','true','t','yes','y','sim') THEN true ELSE true END AS strict FROM {_TEXTS}")
 def parse_bools(spark, d):
     return texts(spark, d).select("id", S.parse_bool(F.col("t")).alias("flag"), S.to_bool(F.col("t"), True).alias("strict"))
 
@@ -461,9 +461,9 @@ def parse_id_lists(spark, d):
     return texts(spark, d).select("id", total.alias("total"), F.size(parts).alias("n"))
 
 
-@query("id_sort_order", f"SELECT id, row_number() OVER (ORDER BY CASE WHEN n IS NULL THEN 1 ELSE 0 END, coalesce(n, 0), CASE WHEN n IS NULL THEN lower(trim(t)) ELSE '' END, id) AS place FROM (SELECT id, t, CASE WHEN regexp_full_match(trim(t), '[+-]?[0-9]+') THEN CAST(trim(t) AS BIGINT) END AS n FROM (SELECT id, CASE WHEN id % 3 = 0 THEN t ELSE CAST(id * 7 % 100 AS VARCHAR) END AS t FROM {_TEXTS}))".replace("CAST(trim(t) AS BIGINT)", "try_cast(trim(t) AS BIGINT)"))
+@query("id_sort_order", f"SELECT id, row_number() OVER (ORDER BY CASE WHEN n IS NULL THEN 1 ELSE 0 END, coalesce(n, 0), CASE WHEN n IS NULL THEN lower(trim(t)) ELSE '' END, id) AS place FROM (SELECT id, t, CASE WHEN regexp_full_match(trim(t), '[+-]?[0-9]+') THEN CAST(trim(t) AS BIGINT) END AS n FROM (SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(t, '') ELSE CAST(id * 7 % 100 AS VARCHAR) END AS t FROM {_TEXTS}))".replace("CAST(trim(t) AS BIGINT)", "try_cast(trim(t) AS BIGINT)"))
 def id_sort_order(spark, d):
-    rows = texts(spark, d).withColumn("t", F.when(F.col("id") % 3 == 0, F.col("t")).otherwise((F.col("id") * 7 % 100).cast("string")))
+    rows = texts(spark, d).withColumn("t", F.when(F.col("id") % 3 == 0, F.coalesce("t", F.lit(""))).otherwise((F.col("id") * 7 % 100).cast("string")))
     return rows.select("id", F.row_number().over(Window.orderBy(S.id_sort_key(F.col("t")), "id")).cast("long").alias("place"))
 
 

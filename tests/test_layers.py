@@ -19,70 +19,79 @@ def boundary(spark, g):
     return spark.createDataFrame([("p", to_row(g))], f"project string, geom {GEOM}")
 
 
+TERRACES = {"lower": P.box(6, 4, 60, 44), "bench": P.box(16, 12, 48, 36), "knoll": P.box(26, 18, 38, 30)}
+SITE = P.box(0, 0, 64, 48)
+
+
 def nest(spark, zs):
-    boxes = [("outer", P.box(10, 10, 90, 90)), ("middle", P.box(30, 30, 70, 70)), ("inner", P.box(45, 45, 55, 55))]
-    pts = [(0, 0, zs[0]), (10, 50, zs[1]), (90, 50, zs[1]), (30, 50, zs[2]), (70, 50, zs[2]), (45, 50, zs[3]), (55, 50, zs[3])]
-    return contour(spark, [(f"{n}_{int(z)}", "topo", g) for (n, g), z in zip(boxes, zs[1:], strict=True)]), points(spark, pts), boundary(spark, P.box(0, 0, 100, 100))
+    """Terraces of one site with survey points on the middles of their upper and lower sides; zs: site, then terraces."""
+    pts = [(64, 0, zs[0])]
+    for g, z in zip(TERRACES.values(), zs[1:], strict=True):
+        x0, y0, x1, y1 = P.bounds(g)
+        pts += [((x0 + x1) / 2, y0, z), ((x0 + x1) / 2, y1, z)]
+    return contour(spark, [(n, "lines", g) for n, g in TERRACES.items()]), points(spark, pts), boundary(spark, SITE)
 
 
 def test_ascending_nest(spark):
-    rows = L.terrain_layers(*nest(spark, [80, 81, 82, 83]), interval=0.0).orderBy("ord").collect()
-    assert [r.source_elevation for r in rows] == [80, 81, 82, 83]
-    assert [r.geom.area for r in rows] == pytest.approx([10000, 6400, 1600, 100])
-    assert [r.source_ids for r in rows] == [[], ["outer_81"], ["middle_82"], ["inner_83"]]
+    rows = L.terrain_layers(*nest(spark, [12, 13, 14, 15]), interval=0.0).orderBy("ord").collect()
+    assert [r.source_elevation for r in rows] == [12, 13, 14, 15]
+    assert [r.geom.area for r in rows] == pytest.approx([64 * 48, 54 * 40, 32 * 24, 12 * 12])
+    assert [r.source_ids for r in rows] == [[], ["lower"], ["bench"], ["knoll"]]
     assert [r.layer_id for r in rows] == ["base", "level_1", "level_2", "level_3"]
-    assert rows[0].visible.area == pytest.approx(3600) and rows[-1].visible.area == pytest.approx(100)
+    assert rows[0].visible.area == pytest.approx(64 * 48 - 54 * 40) and rows[-1].visible.area == pytest.approx(144)
 
 
 def test_descending_nest(spark):
-    c, p, b = nest(spark, [83, 83, 82, 81])
+    c, p, b = nest(spark, [15, 15, 14, 13])
     rows = L.terrain_layers(c, p, b, interval=1.0).orderBy("ord").collect()
-    assert [r.source_elevation for r in rows] == [81, 82, 83]
-    assert [r.geom.area for r in rows] == pytest.approx([10000, 8400, 3600])
+    assert [r.source_elevation for r in rows] == [13, 14, 15]
+    assert [r.geom.area for r in rows] == pytest.approx([64 * 48, 64 * 48 - 32 * 24, 64 * 48 - 54 * 40])
 
 
 def test_neighbouring_strips_take_levels_in_turn(spark):
-    strips = [(n, "t", P.box(10 * k, 0, 10 * k + 10, 10)) for k, n in enumerate("abcd")]
-    rows = L.terrain_layers(contour(spark, strips), points(spark, [(0, 5, 0), (40, 5, 1.5)]), boundary(spark, P.box(0, 0, 40, 10)), interval=0.5).orderBy("ord").collect()
+    edges = [0, 7, 15, 21, 30]
+    strips = [(n, "lines", P.box(edges[k], 0, edges[k + 1], 6)) for k, n in enumerate("pqrs")]
+    rows = L.terrain_layers(contour(spark, strips), points(spark, [(0, 3, 0), (30, 3, 1.5)]), boundary(spark, P.box(0, 0, 30, 6)), interval=0.5).orderBy("ord").collect()
     assert [r.source_elevation for r in rows] == [0, 0.5, 1, 1.5]
-    assert [r.source_ids for r in rows][1:] == [["b"], ["c"], ["d"]]
+    assert [r.source_ids for r in rows][1:] == [["q"], ["r"], ["s"]]
+    assert [r.geom.area for r in rows] == pytest.approx([180, 138, 90, 54])
 
 
 def test_overrides_and_zero_base(spark):
-    c = contour(spark, [("1", "t", P.box(0, 0, 10, 10)), ("2", "t", P.box(20, 0, 30, 10))])
-    p = points(spark, [(0, 0, 100), (20, 0, 101)])
+    c = contour(spark, [("1", "t", P.box(3, 3, 9, 11)), ("2", "t", P.box(15, 3, 22, 10))])
+    p = points(spark, [(3, 3, 40), (15, 3, 41)])
     o = spark.createDataFrame([("p", "2", True, None, None, None, 3)], "project string, id string, keep boolean, forced_source double, forced_absolute double, forced_relative double, forced_layer int")
     got = {r.id: r for r in L.estimate(c, p, overrides=o).collect()}
-    assert got["2"].elevation == 103 and got["2"].source == "forced"
+    assert got["2"].elevation == 43 and got["2"].source == "forced"
     o = spark.createDataFrame([("p", "2", True, None, None, 2.5, None)], "project string, id string, keep boolean, forced_source double, forced_absolute double, forced_relative double, forced_layer int")
-    assert {r.id: r.elevation for r in L.estimate(c, p, overrides=o).collect()}["2"] == 102
-    two = contour(spark, [("1", "t", P.box(10, 10, 90, 90))])
-    rows = L.terrain_layers(two, points(spark, [(0, 0, 2), (10, 10, 2.5)]), boundary(spark, P.box(0, 0, 100, 100)), interval=0.5, zero_base=True).orderBy("ord").collect()
+    assert {r.id: r.elevation for r in L.estimate(c, p, overrides=o).collect()}["2"] == 42
+    two = contour(spark, [("1", "t", P.box(8, 8, 30, 20))])
+    rows = L.terrain_layers(two, points(spark, [(0, 0, 2), (8, 8, 2.5)]), boundary(spark, P.box(0, 0, 40, 25)), interval=0.5, zero_base=True).orderBy("ord").collect()
     assert [r.elevation for r in rows] == [0, 2, 2.5] and rows[0].repeat_count == 4
     assert L.expanded_repeats(spark.createDataFrame(rows, L.LAYER)).count() == 6
 
 
 def test_solid_and_hollow_areas():
     def stack():
-        return [L.Layer(float(k), float(k), P.box(k * 2, k * 2, 10 - k * 2, 10 - k * 2)) for k in range(3)]
+        return [L.Layer(float(k), float(k), P.box(k * 3, k * 2, 18 - k * 3, 14 - k * 2)) for k in range(3)]
 
     solid = L.make_solid(stack())
-    assert [P.area(x.geom) for x in solid] == pytest.approx([100, 36, 4])
-    assert [P.area(x.visible) for x in solid] == pytest.approx([64, 32, 4])
+    assert [P.area(x.geom) for x in solid] == pytest.approx([252, 120, 36])
+    assert [P.area(x.visible) for x in solid] == pytest.approx([132, 84, 36])
     hollow = L.make_hollow(stack(), 0.5)
-    assert [P.area(x.geom) for x in hollow] == pytest.approx([75, 35, 4])
-    assert [P.area(x.support) for x in hollow[:2]] == pytest.approx([11, 3])
+    assert [P.area(x.geom) for x in hollow] == pytest.approx([252 - 99, 120 - 25, 36])
+    assert [P.area(x.support) for x in hollow[:2]] == pytest.approx([21, 11])
     L.engrave(hollow, "hollow", 0.0)
-    assert sum(map(P.line_length, hollow[0].engraving)) == pytest.approx(24)
+    assert sum(map(P.line_length, hollow[0].engraving)) == pytest.approx(44)
     far = [L.Layer(0, 0, P.box(0, 0, 10, 10)), L.Layer(1, 1, P.box(2, 2, 4, 4) + P.box(20, 20, 25, 25))]
     assert P.area(L.floating_parts_removed(far)[1].geom) == pytest.approx(4)
 
 
 def test_rings_and_triangles():
-    nodes = [{"id": 0, "geom": P.box(0, 0, 10, 10), "elevation": 0.0}, {"id": 1, "geom": P.box(2, 2, 8, 8), "elevation": 1.0}]
-    out = L.ring_layers(nodes, {1: 0}, P.box(0, 0, 10, 10), "hollow")
-    assert [P.area(x.geom) for x in out] == pytest.approx([64, 36])
-    pts = np.array([(0, 0, 0), (10, 0, 0), (10, 10, 0), (0, 10, 0), (5, 5, 2.0)])
-    out = L.tin_layers(pts, P.box(0, 0, 10, 10), 0.5)
-    assert [x.source_elevation for x in out] == [0, 0.5, 1, 1.5, 2][: len(out)]
-    assert P.area(out[2].geom) == pytest.approx(25)
+    nodes = [{"id": 0, "geom": P.box(0, 0, 9, 9), "elevation": 0.0}, {"id": 1, "geom": P.box(3, 1, 8, 7), "elevation": 1.0}]
+    out = L.ring_layers(nodes, {1: 0}, P.box(0, 0, 9, 9), "hollow")
+    assert [P.area(x.geom) for x in out] == pytest.approx([51, 30])
+    pts = np.array([(0, 0, 0), (8, 0, 0), (8, 8, 0), (0, 8, 0), (4, 4, 3.0)])
+    out = L.tin_layers(pts, P.box(0, 0, 8, 8), 0.75)
+    assert [x.source_elevation for x in out] == [0, 0.75, 1.5, 2.25, 3][: len(out)]
+    assert P.area(out[2].geom) == pytest.approx(16)
