@@ -238,19 +238,35 @@ def _ask(n: int, bands: Bands, bits: int):
 
 
 CANDIDATES = "key long, id long, n int, asks boolean, deleted boolean, sketch binary"
-#: Counters of a sketch, by the size of the set up to which they do.
-SKETCHES = ((150, 32), (1500, 64), (1 << 62, 256))
+#: Bits of the shortest and the longest sketch; a set of n elements has 2 n bits between these.
+SKETCH_BITS = (256, 8192)
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """Elements counted by their leading bits, at most 255 each: two sets differ in at least as many elements as their
-    counts do. Longer sketches fold to shorter ones."""
-    k = next(k for most, k in SKETCHES if len(grams) < most)
-    return np.minimum(np.bincount((grams >> np.uint64(65 - k.bit_length())).astype(np.int64), minlength=k), 255).astype(np.uint8).tobytes()
+    """Bit i is the parity of the elements whose low bits are i: two sets differ in at least as many elements as their
+    sketches do in bits. A longer sketch folds to a shorter one."""
+    bits = min(max(1 << max(0, 2 * len(grams) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def folded(counts: np.ndarray, k: int) -> np.ndarray:
-    return np.minimum(counts.reshape(len(counts), k, -1).sum(axis=2, dtype=np.int64), 255)
+def sketch_rows(raw: list[bytes], length: int) -> np.ndarray:
+    """Sketches of at least this many bytes as a table of 64-bit numbers, folded to this length."""
+    out = np.empty((len(raw), length // 8), np.uint64)
+    sizes = np.array([len(x) for x in raw])
+    for have in np.unique(sizes):
+        own = np.flatnonzero(sizes == have)
+        rows = np.frombuffer(b"".join([raw[i] for i in own]), np.uint64).reshape(len(own), -1)
+        while rows.shape[1] > length // 8:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[own] = rows
+    return out
+
+
+def may_differ(size: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements two linked sets of this size together can differ."""
+    return size * (100 - percent) // (100 + percent)
 
 
 def _candidates(n: int, bands: Bands, bits: int):
@@ -309,15 +325,13 @@ def _alike(percent: int):
             if not batch.num_rows:
                 continue
             a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
-            kind = np.array([len(x) * 1000 + len(y) for x, y in zip(a, b, strict=True)])
-            differ = np.zeros(len(kind), np.int64)
-            for one in np.unique(kind):
-                own = np.flatnonzero(kind == one)
-                k = min(divmod(int(one), 1000))
-                x, y = (folded(np.frombuffer(b"".join([c[i] for i in own]), np.uint8).reshape(len(own), -1), k) for c in (a, b))
-                differ[own] = np.abs(x - y).sum(axis=1)
-            size = batch.column("n").to_numpy().astype(np.int64)
-            keep = pa.array(differ <= size * (100 - percent) // (100 + percent))
+            shorter = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+            differ = np.zeros(len(shorter), np.int64)
+            for k in np.unique(shorter):
+                own = np.flatnonzero(shorter == k)
+                x, y = (sketch_rows([c[i] for i in own], k) for c in (a, b))
+                differ[own] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = pa.array(differ <= may_differ(batch.column("n").to_numpy().astype(np.int64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
     return run
@@ -360,27 +374,25 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
 
 #: Documents of a key's group that are compared in one task; larger groups are cut into blocks, every two of which meet.
 BLOCK = 2000
+#: Pairs that a task keeps to find repeats before it hands them on.
+KEPT_PAIRS = 500_000
 
 
 def _apart(percent: int):
-    """From rows sorted by group (key, lo, hi): pairs of unlike components that may be linked and that sketches don't rule
-    out. Rows come in batches; a group is worked on when its last row has come."""
+    """From rows sorted by anchor and group (key, lo, hi): pairs of unlike components that may be linked and that sketches
+    don't rule out, each once for an anchor. Rows come in batches; a group is worked on when its last row has come."""
 
-    def pairs(t) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(t) -> np.ndarray:
         key, lo, hi, block, ids, n, c = (t.column(x).to_numpy() for x in ("key", "lo", "hi", "block", "id", "n", "c"))
         asks, gone = (t.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "deleted"))
-        raw = t.column("sketch").to_pylist()
+        _, first, doc = np.unique(ids, return_index=True, return_inverse=True)
+        raw = t.column("sketch").take(first).to_pylist()
         length = np.array([len(x) for x in raw])
-        counts = {}
-        for k in (32, 64, 256):
-            counts[k] = np.zeros((len(raw), k), np.int16)
-            for have in np.unique(length[length >= k]):
-                own = np.flatnonzero(length == have)
-                counts[k][own] = folded(np.frombuffer(b"".join([raw[i] for i in own]), np.uint8).reshape(len(own), -1), k)
+        sketches = {k: (np.cumsum(length >= k) - 1, sketch_rows([x for x in raw if len(x) >= k], k)) for k in np.unique(length)}
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         starts = np.flatnonzero(new)
         end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
-        i, found = np.arange(len(key)), []
+        i, found = np.arange(len(key)), [np.zeros((0, 2), np.int64)]
         for d in range(1, len(key)):
             i = i[i + d < end[i]]
             if not len(i):
@@ -390,19 +402,19 @@ def _apart(percent: int):
             ok = (c[i] != c[j]) & (ids[i] != ids[j]) & np.where(ids[i] > ids[j], asks[i], asks[j]) & ~(gone[i] & gone[j]) & (100 * small >= percent * large)
             ok &= (lo[i] == hi[i]) | (block[i] != block[j])
             x, y = i[ok], j[ok]
-            for k in counts:
-                own = np.flatnonzero(np.minimum(length[x], length[y]) == k)
-                differ = np.abs(counts[k][x[own]] - counts[k][y[own]]).sum(axis=1, dtype=np.int64)
-                near = own[differ <= (n[x[own]] + n[y[own]]) * (100 - percent) // (100 + percent)]
+            shorter = np.minimum(length[doc[x]], length[doc[y]])
+            for k, (at, rows) in sketches.items():
+                own = np.flatnonzero(shorter == k)
+                differ = np.bitwise_count(rows[at[doc[x[own]]]] ^ rows[at[doc[y[own]]]]).sum(axis=1, dtype=np.int64)
+                near = own[differ <= may_differ(n[x[own]].astype(np.int64) + n[y[own]], percent)]
                 found.append(np.stack([np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])], axis=1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return both[:, 0], both[:, 1]
+        return np.unique(np.concatenate(found), axis=0)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        rest = None
-        made = lambda t: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(t.combine_chunks())], names=["u", "v"])
+        made = lambda p: pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["u", "v"])
+        rest, kept = None, np.zeros((0, 2), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -415,9 +427,12 @@ def _apart(percent: int):
             cut = int(np.argmax(same))
             rest = t.slice(cut)
             if cut:
-                yield made(t.slice(0, cut))
+                kept = np.unique(np.concatenate([kept, pairs(t.slice(0, cut).combine_chunks())]), axis=0)
+            if len(kept) > KEPT_PAIRS:
+                yield made(kept)
+                kept = kept[:0]
         if rest is not None:
-            yield made(rest)
+            yield made(np.unique(np.concatenate([kept, pairs(rest.combine_chunks())]), axis=0))
 
     return run
 
@@ -458,14 +473,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     tested = _nearest(stars, percent).checkpoint()
     links = _verify(tested, sketches, plain, n, percent)
     label = components(links)
-    # groups that are still in parts: what of them is apart is compared pair by pair
-    told = rows.join(label.withColumnRenamed("id", "own"), F.col("x.id") == F.col("own"), "left").select("key", "x", F.coalesce("component", F.col("x.id")).alias("c"))
-    parts = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("x.asks").alias("asked"), F.count("*").alias("size"))
-    parts = parts.filter("low <> high and asked").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    told = told.join(parts, "key").select("key", "blocks", "x.*", "c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # groups that are still in parts: what of them is apart is compared pair by pair. Keys with the same rows are one
+    # group, and groups with the same least document come to one task, which drops the repeats of a pair
+    told = rows.join(label.withColumnRenamed("id", "own"), F.col("x.id") == F.col("own"), "left").select("key", "x.*", F.coalesce("component", "id").alias("c"))
+    marks = [F.bit_xor(F.xxhash64(*cols)).alias(f"mark{i}") for i, cols in enumerate((("id", "asks", "deleted"), ("deleted", "asks", "id")))]
+    parts = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("asks").alias("asked"), F.count("*").alias("size"), F.min("id").alias("anchor"), *marks)
+    parts = parts.filter("low <> high and asked").groupBy("mark0", "mark1", "size", "anchor").agg(F.min("key").alias("key"))
+    parts = parts.select("key", "anchor", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    told = told.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     told = told.join(sketches.select("id", "sketch"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    told = told.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "asks", "deleted", "c", "sketch")
-    apart = told.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id").mapInArrow(_apart(percent), "u long, v long").distinct()
+    told = told.select("anchor", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "asks", "deleted", "c", "sketch")
+    apart = told.repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "key", "lo", "hi", "id").mapInArrow(_apart(percent), "u long, v long").distinct()
     more = _verify(apart.join(tested, ["u", "v"], "left_anti"), sketches, plain, n, percent)
     label = components(links.unionByName(more)) if not more.isEmpty() else label
     forget(spark, path)
