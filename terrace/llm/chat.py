@@ -1,19 +1,23 @@
 """Chat formatting by schema fingerprints. DataFrame functions only.
 
 Records of unlike layouts (rows by turn, prompt and completion, instruction with input and output, message lists) are
-turned into a VARIANT each. The sorted paths of its nested fields, hashed, are the record's fingerprint; the fingerprint
-selects a declarative mapping, which says where the canonical turns ``(role, text)`` are. Adding a layout is adding an
-entry to ``LAYOUTS``, not code.
+VARIANT values. The paths of a record's fields, two levels deep through lists, are walked; those that some layout names are
+sorted and hashed, which is the record's fingerprint, so further fields (ids, names, scores) don't change it. The
+fingerprint selects a declarative mapping, which says where the canonical turns ``(role, text)`` are. Adding a layout is
+adding an entry to ``LAYOUTS``, not code.
 
 The template writes a turn as ``### role\\n text </turn>\\n``. Inside roles and texts the three characters that control
 strings and escapes need are escaped, so no text can open or close a turn, and the writing is reversible:
 ``\\`` is written ``\\b``, ``<`` is ``\\l``, ``#`` is ``\\h``; in roles a line feed is ``\\n`` also.
 
+Roles are written as the record gives them; only layouts that name speakers in ways of their own (``from``, ``speaker``)
+have them translated, as their mapping says.
+
 Defined results: a null text or role is empty; rows of a null conversation are one conversation; rows with equal turns
-are ordered by role, then text, null turns first; repeated rows are turns of their own; a record whose fingerprint no layout has
-gets the mapping ``unknown`` and no turns (kept, with a null ``formatted``); empty tables give empty tables; other
-columns, whatever their names, are not read. One conversation is one output row, so its text is put together in one
-task, as any operator that returns it whole must; what is shuffled is the rows' own texts, once.
+are ordered by role, then text, null turns first; repeated rows are turns of their own; a record whose fingerprint no layout
+has gets the mapping ``unknown`` and no turns, and a conversation without turns is kept, with a null ``formatted``; empty
+tables give empty tables; other columns, whatever their names, are not read. One conversation is one output row, so its text
+is put together in one task, as any operator that returns it whole must; what is shuffled is the rows' own texts, once.
 """
 
 from __future__ import annotations
@@ -36,27 +40,34 @@ LAYOUTS: dict[str, dict] = {
     "instruction_input": {"paths": ["input", "instruction", "output"], "turns": [("user", ("$.instruction", "$.input")), ("assistant", "$.output")]},
     "question_answer": {"paths": ["answer", "question"], "turns": [("user", "$.question"), ("assistant", "$.answer")]},
     "messages": {"paths": ["messages[].content", "messages[].role"], "list": ("$.messages", "role", "content")},
-    "conversations": {"paths": ["conversations[].from", "conversations[].value"], "list": ("$.conversations", "from", "value")},
-    "dialog": {"paths": ["dialog[].speaker", "dialog[].text"], "list": ("$.dialog", "speaker", "text")},
+    "conversations": {"paths": ["conversations[].from", "conversations[].value"], "list": ("$.conversations", "from", "value"), "speakers": True},
+    "dialog": {"paths": ["dialog[].speaker", "dialog[].text"], "list": ("$.dialog", "speaker", "text"), "speakers": True},
 }
-#: Role names of the layouts and their canonical forms; others stay as they are.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: All paths that layouts name.
+KNOWN = sorted({p for spec in LAYOUTS.values() for p in spec["paths"]})
+#: Speakers' names and their canonical roles; others stay as they are.
+SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+
+
+def _keys(value: Column) -> Column:
+    """Field names of a VARIANT object; of anything else none."""
+    return F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
 
 
-def path_list(schema: Column) -> Column:
-    """Sorted field paths, ``a[].b`` for fields of lists, from the text form of a VARIANT's schema.
+def path_list(record: Column) -> Column:
+    """Sorted field paths of a VARIANT object, ``a[].b`` for the fields of a list's objects, whichever of them has one."""
 
-    Types are dropped, so a null value (VOID) doesn't change a fingerprint. Layouts go two levels deep; a deeper part of
-    the schema is kept as text, so that it can't be taken for a layout."""
-    plain = F.regexp_replace(schema, r"\b(?:STRING|BIGINT|VOID|DOUBLE|BOOLEAN|DECIMAL\(\d+,\s?\d+\)|DATE|TIMESTAMP(?:_NTZ)?|FLOAT|VARIANT)\b", "")
-    inner = F.regexp_replace(plain, r"(?s)^OBJECT<(.*)>$", "$1")
-    # a list of objects becomes name[].(field|field), so that commas only part top-level fields
-    lists = F.regexp_replace(inner, r"(\w+): ARRAY<OBJECT<(\w+): , (\w+): >>", "$1[].$2, $1[].$3")
-    return F.array_sort(F.filter(F.transform(F.split(lists, ", "), lambda x: F.regexp_replace(x, ": $", "")), lambda x: x != ""))
+    def under(name: Column) -> Column:
+        items = F.try_variant_get(record, F.concat(F.lit("$."), name), "array<variant>")
+        inner = F.array_distinct(F.flatten(F.transform(items, _keys)))
+        return F.when(name.rlike(r"^\w+$") & items.isNotNull() & (F.size(inner) > 0), F.transform(inner, lambda x: F.concat(name, F.lit("[]."), x))).otherwise(F.array(name))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(_keys(record), under))))
 
 
 def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(F.concat_ws("\n", paths))
+    """Of the paths that layouts know."""
+    return F.xxhash64(F.concat_ws("\n", F.filter(paths, lambda p: p.isin(*KNOWN))))
 
 
 def _layout_map() -> Column:
@@ -67,32 +78,37 @@ def _get(record: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(record, path, "string"), F.lit(""))
 
 
-def _role(role: Column) -> Column:
-    low = F.lower(role)
-    named = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    return F.coalesce(F.element_at(named, low), role)
+def _speaker(name: Column) -> Column:
+    named = F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])
+    return F.coalesce(F.element_at(named, F.lower(name)), name)
+
+
+def _turn(role: Column, text: Column, speakers: bool) -> Column:
+    role = F.coalesce(role, F.lit(""))
+    return F.struct((_speaker(role) if speakers else role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _item(who: str, what: str):
-    return lambda x: F.struct(_role(F.coalesce(x[who], F.lit(""))).alias("role"), F.coalesce(x[what], F.lit("")).alias("text"))
+def _item(who: str, what: str, speakers: bool):
+    return lambda x: _turn(x[who], x[what], speakers)
 
 
 def canonical_turns(records: DataFrame, record: str) -> DataFrame:
-    """Adds fingerprint, layout and turns (array of role, text) for a VARIANT column."""
+    """Adds fingerprint, layout and turns (array of role, text; null for an unknown layout) for a VARIANT column."""
     v = F.col(record)
-    out = records.withColumn("fingerprint", fingerprint(path_list(F.schema_of_variant(v))))
+    out = records.withColumn("fingerprint", fingerprint(path_list(v)))
     out = out.withColumn("layout", F.coalesce(F.element_at(_layout_map(), F.col("fingerprint")), F.lit("unknown")))
     turns = F.lit(None)
     for name, spec in LAYOUTS.items():
+        speakers = spec.get("speakers", False)
         if "list" in spec:
             path, who, what = spec["list"]
             items = F.try_variant_get(v, path, f"array<struct<{who}:string,{what}:string>>")
-            made = F.transform(items, _item(who, what))
+            made = F.transform(items, _item(who, what, speakers))
         else:
             each = []
             for who, what in spec["turns"]:
                 text = _get(v, what) if isinstance(what, str) else F.concat_ws("\n\n", *[F.nullif(_get(v, p), F.lit("")) for p in what])
-                each.append(F.struct((_role(_get(v, who)) if who.startswith("$") else F.lit(who)).alias("role"), text.alias("text")))
+                each.append(_turn(_get(v, who) if who.startswith("$") else F.lit(who), text, speakers))
             made = F.array(*each)
         turns = F.when(F.col("layout") == name, made).otherwise(turns)
     return out.withColumn("turns", turns)
@@ -123,16 +139,16 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(unescaped(F.replace(head(x), F.lit("\\n"), F.lit("\n"))).alias("role"), unescaped(body(x)).alias("text")))
 
 
-def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows by turn to one row per conversation: conv, formatted, loss_spans (start and end, in characters of
-    ``formatted``, of each assistant text as written there)."""
-    plain = rows.select(
-        F.col(conv).alias("conv"), F.col(turn).alias("turn"),
-        F.to_variant_object(F.struct(F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))).alias("record"),
-    )
-    turns = canonical_turns(plain, "record").select("conv", "turn", F.posexplode("turns").alias("at", "one")).select("conv", "turn", "at", "one.role", "one.text")
-    made = turns.select("conv", F.struct("turn", "role", "text", "at", written(F.col("role"), F.col("text")).alias("out")).alias("item"))
-    gathered = made.groupBy("conv").agg(F.array_sort(F.collect_list("item")).alias("items"))
+def format_records(records: DataFrame, record: str = "record", conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """VARIANT records of any layouts, also of several in one conversation, in the order of ``turn``, to one row per
+    conversation: conv, n_unknown (records of no known layout), formatted (null without turns), loss_spans (start and end, in
+    characters of ``formatted``, of each assistant text as written there)."""
+    plain = records.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(record).alias("record"))
+    found = canonical_turns(plain, "record").select("conv", "turn", "turns")
+    own = F.when(F.col("turns").isNotNull(), F.struct("turn", "turns"))
+    gathered = found.groupBy("conv").agg(F.array_sort(F.collect_list(own)).alias("parts"), F.count_if(F.col("turns").isNull()).alias("n_unknown"))
+    turns = F.flatten(F.transform("parts", lambda x: x["turns"]))
+    gathered = gathered.select("conv", "n_unknown", F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), written(t["role"], t["text"]).alias("out"))).alias("items"))
     ends = F.aggregate(
         "items", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
         lambda s, x: F.struct(
@@ -142,7 +158,15 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
             )))).otherwise(s["spans"]).alias("spans"),
         ),
     )
-    return gathered.select(F.col("conv").alias(conv), F.array_join(F.transform("items", lambda x: x["out"]), "").alias("formatted"), ends["spans"].alias("loss_spans"))
+    whole = F.when(F.size("items") > 0, F.array_join(F.transform("items", lambda x: x["out"]), ""))
+    return gathered.select(F.col("conv").alias(conv), "n_unknown", whole.alias("formatted"), ends["spans"].alias("loss_spans"))
+
+
+def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Rows by turn to one row per conversation, as ``format_records`` gives it."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    record = F.to_variant_object(F.struct(plain(role).alias("role"), plain(text).alias("text")))
+    return format_records(rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), record.alias("record")), "record", "conv", "turn").withColumnRenamed("conv", conv).drop("n_unknown")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -406,6 +406,23 @@ def test_layouts(spark):
     assert "Python" not in chat.op10_chat_formatting(spark, D)._jdf.queryExecution().toString()
 
 
+def test_records_of_several_layouts_in_one_table(spark):
+    records = [
+        (1, 0, '{"messages": [{"role": "user", "content": "m", "name": "x"}, {"role": "bot", "content": null}], "id": 7}'), (1, 1, '{"prompt": "p", "completion": "c", "id": 3, "score": 0.5}'),
+        (2, 0, '{"conversations": [{"from": "Human", "value": "h", "weight": 1}, {"from": "gpt", "value": "g"}], "source": "s"}'), (3, 0, '{"strange": 1, "messages": 5}'), (3, 1, "[1, 2]"), (4, 0, None),
+        (5, 0, '{"strange": 1}'), (5, 1, '{"question": "q", "answer": "a", "": {"b c": 1}}'), (None, 0, '{"messages": []}'),
+    ]
+    df = spark.createDataFrame([(*r, 1, "x") for r in records], "conv_id long, turn long, j string, at int, items string").withColumn("record", F.parse_json("j"))
+    done = chat.format_records(df).select("conv_id", "n_unknown", "formatted", "loss_spans", chat.read_back(F.col("formatted")).alias("back"))
+    got = {r.conv_id: (r.n_unknown, [(t.role, t.text) for t in r.back] if r.formatted is not None else None, [r.formatted[s.start : s.end] for s in r.loss_spans] if r.formatted else []) for r in done.collect()}
+    assert got[1] == (0, [("user", "m"), ("bot", ""), ("user", "p"), ("assistant", "c")], ["c"])
+    assert got[2] == (0, [("user", "h"), ("assistant", "g")], ["g"])
+    assert got[3] == (2, None, []) and got[4] == (1, None, []) and got[5] == (1, [("user", "q"), ("assistant", "a")], ["a"]) and got[None][1] is None
+    rows = spark.createDataFrame([(1, 0, "Human", "x"), (1, 1, "gpt", "y")], "conv_id long, turn long, role string, text string")
+    ((formatted, spans),) = chat.format_conversations(rows).select("formatted", "loss_spans").collect()
+    assert formatted == "### Human\nx</turn>\n### gpt\ny</turn>\n" and spans == []
+
+
 # --- queries with SQL
 
 
