@@ -119,9 +119,13 @@ def g_inner_point(a: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([P.inner_point(g) if g else (None, None) for g in map(from_row, _rows(a))], columns=["x", "y"])
 
 
-def union_by(df, by: list[str], geom: str = "geom"):
-    """The union of each group's shapes, in two steps: per key and task slot first, so that no group is gathered whole
-    before it is merged."""
+#: Slots that a group's shapes are dealt to before their unions are merged.
+SLOTS = 16
+
+
+def union_by(df, by: list[str], geom: str = "geom", slots: int = SLOTS):
+    """The union of each group's shapes, in two steps: per key and slot first, so that no group is gathered whole before it
+    is merged. Shapes of a stretch share a slot, as these merge to little."""
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + f", slot int, {geom} {GEOM}"
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,5 +136,8 @@ def union_by(df, by: list[str], geom: str = "geom"):
         head[geom] = [to_row(shapes[0] if shapes else [])]
         return head
 
-    part = df.select(*by, (F.monotonically_increasing_id() % 16).cast("int").alias("slot"), geom).groupBy(*by, "slot").applyInPandas(merge, schema)
+    e = F.col(geom)["env"]
+    side = F.greatest(e["maxx"] - e["minx"], F.lit(1e-6))
+    slot = F.coalesce(F.pmod(F.floor(e["minx"] / (4 * side)), F.lit(slots)), F.lit(0)).cast("int")
+    part = df.select(*by, slot.alias("slot"), geom).groupBy(*by, "slot").applyInPandas(merge, schema)
     return part.withColumn("slot", F.lit(0)).groupBy(*by, "slot").applyInPandas(merge, schema).drop("slot")

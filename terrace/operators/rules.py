@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import once
+
 #: Layer names that tell what a layer is, in lower case.
 BOUNDARY_NAMES = ("boundary", "limite", "perimetro", "contorno")
 CONTOUR_NAMES = ("topografia", "topography", "topo")
@@ -114,19 +116,26 @@ def line_signature(lines: Column) -> Column:
 
 def sampled(points: Column, most: int = 600) -> Column:
     """Every k-th of a long line's points, and its last."""
-    step = F.greatest(F.floor(F.size(points) / most).cast("int"), F.lit(1))
-    some = F.filter(points, lambda x, i: i % step == 0)
-    ends = F.when(F.element_at(some, -1) == F.element_at(points, -1), some).otherwise(F.concat(some, F.slice(points, -1, 1)))
-    return F.when(F.size(points) <= most, points).otherwise(ends)
+
+    def every(p: Column, step: Column) -> Column:
+        some = F.filter(p, lambda x, i: i % step == 0)
+        return F.when((F.size(p) - 1) % step == 0, some).otherwise(F.concat(some, F.slice(p, -1, 1)))
+
+    return once(points, lambda p: F.when(F.size(p) <= most, p).otherwise(once(F.greatest(F.floor(F.size(p) / most).cast("int"), F.lit(1)), lambda step: every(p, step))))
 
 
 def thinned(values: Column, low: Column, high: Column, most: int, slack: float = 1e-6) -> Column:
     """Distinct values between bounds, six digits; of more than ``most`` the ends and evenly spaced ones."""
     kept = F.array_sort(F.array_distinct(F.transform(F.filter(values, lambda v: (v >= low - slack) & (v <= high + slack)), lambda v: F.round(v, 6))))
-    n, slots = F.size(kept), max(most - 2, 1)
-    spread = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.rint(i * (n - 1) / max(slots - 1, 1)).cast("int"))
-    at = F.slice(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), n - 1), spread))), 1, most)
-    return F.when(n <= most, kept).otherwise(F.transform(at, lambda i: F.get(kept, i)))
+    slots = max(most - 2, 1)
+
+    def spread(v: Column) -> Column:
+        last = F.size(v) - 1
+        even = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.rint(i * last / max(slots - 1, 1)).cast("int"))
+        at = F.slice(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), last), even))), 1, most)
+        return F.transform(at, lambda i: F.get(v, i))
+
+    return once(kept, lambda v: F.when(F.size(v) <= most, v).otherwise(spread(v)))
 
 
 def split_sources(pieces: DataFrame, key: str = "project") -> DataFrame:

@@ -8,7 +8,7 @@ that meets in several cells is kept in the one with the upper right of both lowe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.native import env_covers, env_line_distance, env_meets
@@ -69,45 +69,86 @@ def containment(df: DataFrame, ident: str = "id", key: str = "project") -> DataF
     return best.select(F.col("key").alias(key), "child", F.col("best.id").alias("parent"))
 
 
-#: Cells a side of the grid of points that the nearest-band join prunes with, per project.
-GRID = 64
+def polygon_containment(df: DataFrame, ident: str = "id", key: str = "project") -> DataFrame:
+    """Each shape's direct parent: the smallest shape of greater area that covers it, shared edges allowed; of equals the
+    one with the least id. df: key, ident, env, geom. Boxes make the pairs, the kernel decides on those only."""
+    from terrace.functions.shapes import g_covers
 
+    x, y = F.col("a.geom"), F.col("b.geom")
+    pairs = pair_boxes(df, df, env_covers(F.col("a.env"), F.col("b.env")) & (x["area"] > y["area"]), key)
+    best = pairs.filter(g_covers(x, y)).groupBy(F.col("key"), F.col(f"b.{ident}").alias("child")).agg(F.min(F.struct(x["area"].alias("area"), F.col(f"a.{ident}").alias("id"))).alias("best"))
+    return best.select(F.col("key").alias(key), "child", F.col("best.id").alias("parent"))
 
-def near_points(shapes: DataFrame, points: DataFrame, reach: float | None = None, outline=None, grid: int = GRID, key: str = "project", ident: str = "id") -> DataFrame:
-    """Points of a shape's project by distance from its outline: within ``reach``, or (None) in the band of the nearest,
-    up to max(t, 2.5 * least distance + t) with t a millionth of the shape's size. Rows: key, id, point, z, distance.
 
-    Points are gathered in cells; a cell is known by its tight box and one of its points. The distance of a cell's middle,
-    less half its diagonal, bounds its points' distances from below; the distance of its known point bounds the least
-    distance from above. Only cells that these bounds leave open are joined with their points, so exact distances are
-    worked out near the outline alone. Per project at most grid * grid cells meet each shape."""
+def polygon_adjacency(df: DataFrame, tolerance: float = 1e-6, ident: str = "id", key: str = "project") -> DataFrame:
+    """Shapes with a common boundary longer than the tolerance: key, u, v (u < v), shared."""
+    from terrace.functions.shapes import g_shared_length
+
+    pairs = self_pairs(df, ident, key).withColumn("shared", g_shared_length("a.geom", "b.geom"))
+    return pairs.filter(F.col("shared") > tolerance).select(F.col("key").alias(key), F.col(f"a.{ident}").alias("u"), F.col(f"b.{ident}").alias("v"), "shared")
+
+
+#: Regions a side, and cells a side of a region, by which the nearest-band join finds a project's points.
+REGIONS, CELLS = 8, 8
+
+
+def once(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def near_points(shapes: DataFrame, points: DataFrame, reach: float | None = None, outline=None, key: str = "project", ident: str = "id", both: bool = False) -> DataFrame:
+    """Points of a shape's project by distance from its outline: within ``reach``, or (None) in the band of the nearest,
+    up to max(t, 2.5 * least distance + t) with t a millionth of the shape's size. Rows: key, id, point, z, distance. With
+    ``both`` points of either kind, and flags in_band and in_reach.
+
+    A project's points are gathered in regions and cells of a fixed number, each known by its tight box and one of its
+    points; these are one row of bounded size a project. A shape is joined with that row alone. Within it the distance of a
+    box's middle, less half its diagonal, bounds its points' distances from below, and the known point's distance bounds
+    the least one from above: regions that the bounds close are dropped, then cells of the others. Only the cells that are
+    left meet their points, by an equi-join on the cell, so no pair of shape and cell is ever a row but those."""
     outline = outline or (lambda row, x, y: env_line_distance(row["env"], x, y))
+    side = REGIONS * CELLS
     span = points.groupBy(key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"))
     placed = points.join(span, key)
-    cell = lambda c, c0: F.least(F.lit(grid - 1), F.floor((F.col(c) - F.col(c0)) / F.col("side") * grid)).cast("int")
-    placed = placed.withColumns({"cx": cell("x", "x0"), "cy": cell("y", "y0")}).drop("x0", "y0", "side")
-    known = placed.groupBy(key, "cx", "cy").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min(F.struct("point", "x", "y")).alias("one")
-    )
-    shape = shapes.select(key, F.struct(*[c for c in shapes.columns if c != key]).alias("s"))
-    met = shape.join(known, key)
-    mx, my, r = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2
-    s = F.col("s")
-    e = s["env"]
+    cell = lambda c, c0: F.least(F.lit(side - 1), F.floor((F.col(c) - F.col(c0)) / F.col("side") * side)).cast("int")
+    placed = placed.select(key, "point", "x", "y", "z", cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy"))
+    tight = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("one").alias("one")]
+    known = placed.groupBy(key, "cx", "cy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min(F.struct("point", "x", "y")).alias("one"))
+    region = [F.floor(F.col(c) / CELLS).alias(r) for c, r in (("cx", "rx"), ("cy", "ry"))]
+    regions = known.groupBy(key, *region).agg(*tight, F.collect_list(F.struct("cx", "cy", "x0", "x1", "y0", "y1", "one")).alias("cells"))
+    maps = regions.groupBy(key).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1", "one", "cells")).alias("regions"))
+
+    e = F.col("env")
     t = F.greatest(F.greatest(e["maxx"] - e["minx"], e["maxy"] - e["miny"], F.lit(1.0)) * 1e-6, F.lit(1e-6))
-    met = met.withColumn("from", outline(s, mx, my) - r)
     slack = 1e-6
-    if reach is None:
-        met = met.withColumn("upto", outline(s, F.col("one.x"), F.col("one.y")))
-        best = met.groupBy(key, F.col(f"s.{ident}").alias("sid")).agg(F.min("upto").alias("least"))
-        met = met.join(best, (met[key] == best[key]) & (met[f"s.{ident}"] == best["sid"])).drop(best[key]).drop("sid")
-        open_ = F.col("from") <= F.col("least") * 2.5 + 2 * t + slack
-    else:
-        open_ = F.col("from") <= reach + slack
-    some = met.filter(open_).select(key, "s", "cx", "cy")
-    exact = some.join(placed, [key, "cx", "cy"]).select(key, "s", "point", "z", outline(s, F.col("x"), F.col("y")).alias("distance"))
-    if reach is not None:
-        return exact.filter(F.col("distance") <= reach).select(key, F.col(f"s.{ident}").alias(ident), "point", "z", "distance")
-    least = exact.groupBy(key, F.col(f"s.{ident}").alias("sid")).agg(F.min("distance").alias("least"))
-    band = exact.join(least, (exact[key] == least[key]) & (exact[f"s.{ident}"] == least["sid"])).drop(least[key])
-    return band.filter(F.col("distance") <= F.greatest(t, F.col("least") * 2.5 + t)).select(key, F.col(f"s.{ident}").alias(ident), "point", "z", "distance")
+    # the shape as plain columns, of which the outline takes what it needs
+    corners = ("minx", "miny", "maxx", "maxy")
+    plain = [c for c in shapes.columns if c not in (key, "env")]
+    shape = {c: F.col(c) for c in plain} | {"env": {n: F.col(f"env_{n}") for n in corners}}
+    bounded = lambda c, *more: F.struct(
+        (outline(shape, (c["x0"] + c["x1"]) / 2, (c["y0"] + c["y1"]) / 2) - F.hypot(c["x1"] - c["x0"], c["y1"] - c["y0"]) / 2).alias("low"), outline(shape, c["one"]["x"], c["one"]["y"]).alias("high"), *[c[m] for m in more]
+    )
+    far = (lambda least: F.lit(reach + slack)) if reach is not None and not both else (lambda least: F.greatest(least * 2.5 + 2 * F.col("t") + slack, F.lit((reach or 0.0) + slack)))
+    least = lambda boxes: F.array_min(F.transform(boxes, lambda b: b["high"]))
+
+    def fine(open_: Column) -> Column:
+        cells = F.transform(F.flatten(F.transform(open_, lambda r: r["cells"])), lambda c: bounded(c, "cx", "cy"))
+        return once(cells, lambda b: once(far(least(b)), lambda limit: F.filter(b, lambda c: c["low"] <= limit)))
+
+    def coarse() -> Column:
+        made = F.transform("regions", lambda r: bounded(r, "cells"))
+        return once(made, lambda b: once(far(least(b)), lambda limit: F.filter(b, lambda r: r["low"] <= limit)))
+
+    flat = shapes.select(key, *plain, t.alias("t"), *[e[n].alias(f"env_{n}") for n in corners])
+    names = [*plain, "t", *[f"env_{n}" for n in corners]]
+    met = flat.join(maps, key).select(key, *names, F.explode(fine(coarse())).alias("c")).select(key, *names, "c.cx", "c.cy")
+    exact = met.join(placed, [key, "cx", "cy"]).select(key, ident, "t", "point", "z", outline(shape, F.col("x"), F.col("y")).alias("distance"))
+    if reach is not None and not both:
+        return exact.filter(F.col("distance") <= reach).drop("t")
+    limit = F.greatest(F.col("t"), F.min("distance").over(Window.partitionBy(key, ident)) * 2.5 + F.col("t"))
+    out = exact.withColumn("in_band", F.col("distance") <= limit)
+    if both:
+        out = out.withColumn("in_reach", F.col("distance") <= (reach or 0.0)).filter("in_band or in_reach")
+        return out.drop("t")
+    return out.filter("in_band").drop("t", "in_band")

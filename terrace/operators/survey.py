@@ -23,6 +23,18 @@ def bucketed_mode(samples: DataFrame, by: list[str], step: float, base: float |
     return buckets.groupBy(*by).agg(F.min_by("level", order).alias("level"), F.min_by("n", order).alias("votes"))
 
 
+def bucketed_votes(samples: DataFrame, by: list[str], level: Column, flags: dict[str, str]) -> DataFrame:
+    """Levels as ``bucketed_mode`` finds them, for several sets of samples in one pass: flags names for each result the
+    column that marks its samples. Per group: each result, its least distance, and the mean of z over the first set."""
+    of = lambda f, value: F.when(F.col(f), value)
+    aggregates = [a for n, f in flags.items() for a in (F.count_if(F.col(f)).alias(f"n_{n}"), F.min(of(f, F.col("distance"))).alias(f"near_{n}"), F.avg(of(f, F.col("distance"))).alias(f"mean_{n}"))]
+    first = next(iter(flags.values()))
+    buckets = samples.groupBy(*by, level.alias("level")).agg(*aggregates, F.sum(of(first, F.col("z"))).alias("sum_z"))
+    order = lambda n: F.when(F.col(f"n_{n}") > 0, F.struct((-F.col(f"n_{n}")).alias("n"), f"near_{n}", f"mean_{n}", (-F.col("level")).alias("l")))
+    chosen = [a for n in flags for a in (F.min_by("level", order(n)).alias(n), F.min(f"near_{n}").alias(f"{n}_distance"))]
+    return buckets.groupBy(*by).agg(*chosen, (F.sum("sum_z") / F.sum(f"n_{next(iter(flags))}")).alias("mean_z"))
+
+
 def base_elevation(points: DataFrame, by: list[str], step: float) -> DataFrame:
     return points.groupBy(*by).agg(bucket_elevation(F.min("z"), F.lit(step)).alias("base"))
 

@@ -62,11 +62,9 @@ SELECT id, c.layer, level, mean_z, round(level - base, 6) AS relative, CAST(roun
 FROM {CONTOURS} c JOIN levels USING (id) JOIN m USING (id) CROSS JOIN base""")
 def correction_table(spark, d):
     """The table that overrides are edited in: estimated levels, means, blank forced columns."""
-    band = _band(spark, d)
-    levels = survey.bucketed_mode(band, ["project", "id"], STEP)
-    means = band.groupBy("project", "id").agg(F.round(F.avg("z"), 4).alias("mean_z"))
+    votes = survey.bucketed_votes(_band(spark, d).withColumn("in_band", F.lit(True)), ["project", "id"], S.bucket_elevation(F.col("z"), F.lit(STEP)), {"level": "in_band"})
     base = survey.base_elevation(A.points(spark, d), ["project"], STEP)
-    rows = A.contours(spark, d).select("project", "id", "layer").join(levels, ["project", "id"]).join(means, ["project", "id"]).join(base, "project")
+    rows = A.contours(spark, d).select("project", "id", "layer").join(votes.withColumn("mean_z", F.round("mean_z", 4)), ["project", "id"]).join(base, "project")
     rel = F.col("level") - F.col("base")
     return rows.select("id", "layer", "level", "mean_z", F.round(rel, 6).alias("relative"), F.rint(rel / STEP).cast("long").alias("layer_index"), F.lit(1).alias("keep"), F.lit(None).cast("double").alias("forced_elevation"))
 
@@ -86,10 +84,9 @@ rb AS (SELECT id, {_bucket_sql('z')} AS level, count(*) AS n, min(distance) AS n
 direct AS (SELECT id, level FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, near, mean, level DESC) AS k FROM rb) WHERE k = 1)
 SELECT levels.id, coalesce(direct.level, levels.level) AS level, CASE WHEN direct.id IS NULL THEN 'nearest' ELSE 'direct' END AS origin FROM levels LEFT JOIN direct USING (id)""")
 def direct_or_nearest(spark, d):
-    shapes, points = A.contours(spark, d), A.points(spark, d)
-    near = survey.bucketed_mode(spatial.near_points(shapes, points), ["id"], STEP)
-    direct = survey.bucketed_mode(spatial.near_points(shapes, points, REACH), ["id"], STEP).select("id", F.col("level").alias("direct"))
-    return near.join(direct, "id", "left").select("id", F.coalesce("direct", "level").alias("level"), F.when(F.col("direct").isNull(), "nearest").otherwise("direct").alias("origin"))
+    samples = spatial.near_points(A.contours(spark, d), A.points(spark, d), REACH, both=True)
+    votes = survey.bucketed_votes(samples, ["id"], S.bucket_elevation(F.col("z"), F.lit(STEP)), {"nearest": "in_band", "direct": "in_reach"})
+    return votes.select("id", F.coalesce("direct", "nearest").alias("level"), F.when(F.col("direct").isNull(), "nearest").otherwise("direct").alias("origin"))
 
 
 _PARENTS = f"""parents AS (SELECT project, child, parent FROM (SELECT b.project, b.id AS child, a.id AS parent, row_number() OVER (PARTITION BY b.project, b.id ORDER BY (a.x1 - a.x0) * (a.y1 - a.y0), a.id) AS r

@@ -435,10 +435,11 @@ def estimate(contours: DataFrame, points: DataFrame, step: float = 0.0, interval
     shapes = contours.filter((F.size("geom.polys") > 0) & (F.col("geom.area") > AREA_TOLERANCE)).withColumn("ring", F.col("geom.polys")[0]["shell"]).withColumn("env", F.col("geom.env"))
     outline = lambda s, x, y: ring_line_distance(s["ring"], x, y)
     slim = shapes.select("project", "id", "ring", "env")
-    near = spatial.near_points(slim, points, None, outline)
+    wanted = reach if reach and reach > 0 else None
+    near = spatial.near_points(slim, points, wanted, outline, both=True)
     inferred = F.lit(None).cast("double")
     if not (step > 0 or interval > 0):
-        rough = near.groupBy("project", "id").agg(F.avg("z").alias("z"))
+        rough = near.filter("in_band").groupBy("project", "id").agg(F.avg("z").alias("z"))
         guess = survey.infer_interval(rough, ["project"], F.col("z"), target)
         bases = points.groupBy("project").agg(F.min("z").alias("low")).join(guess, "project", "left")
         inferred = F.col("interval")
@@ -447,17 +448,10 @@ def estimate(contours: DataFrame, points: DataFrame, step: float = 0.0, interval
     bases = bases.withColumn("step", S.topographic_step(F.lit(float(step)), F.lit(float(interval)), inferred))
     bases = bases.select("project", "step", S.bucket_elevation(F.col("low"), F.col("step")).alias("base"))
 
-    def voted(samples: DataFrame, name: str) -> DataFrame:
-        x = samples.join(bases, "project")
-        level = S.bucket_elevation(F.col("z"), F.col("step"), F.col("base"))
-        b = x.groupBy("project", "id", level.alias("level")).agg(F.count("*").alias("n"), F.min("distance").alias("near"), F.avg("distance").alias("mean"))
-        return b.groupBy("project", "id").agg(F.min_by("level", F.struct((-F.col("n")).alias("n"), "near", "mean", (-F.col("level")).alias("l"))).alias(name), F.min("near").alias(f"{name}_distance"))
-
-    out = shapes.drop("ring", "env").join(bases, "project").join(voted(near, "nearest"), ["project", "id"], "left")
-    direct = F.lit(None).cast("double")
-    if reach and reach > 0:
-        out = out.join(voted(spatial.near_points(slim, points, reach, outline), "direct"), ["project", "id"], "left")
-        direct = F.col("direct")
+    level = S.bucket_elevation(F.col("z"), F.col("step"), F.col("base"))
+    votes = survey.bucketed_votes(near.join(bases, "project"), ["project", "id"], level, {"nearest": "in_band", "direct": "in_reach"})
+    out = shapes.drop("ring", "env").join(bases, "project").join(votes.drop("mean_z"), ["project", "id"], "left")
+    direct = F.col("direct") if wanted is not None else F.lit(None).cast("double")
     forced = F.lit(None).cast("double")
     if overrides is not None:
         names = ["keep", "forced_source", "forced_absolute", "forced_relative", "forced_layer"]
@@ -504,6 +498,34 @@ def terrain_layers(contours: DataFrame, points: DataFrame, boundaries: DataFrame
     return known.groupBy("project").cogroup(outlines.groupBy("place")).applyInPandas(build, LAYER)
 
 
+def triangulated_layers(points: DataFrame, boundaries: DataFrame, step: float, tolerance: float = AREA_TOLERANCE) -> DataFrame:
+    """Layers of every project from its survey points alone (project, point, x, y, z), in the order of their numbers."""
+
+    def build(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return layer_rows("", [])
+        xyz = left.sort_values("point", kind="stable")[["x", "y", "z"]].to_numpy(float)
+        return layer_rows(left.iloc[0]["project"], tin_layers(xyz, from_row(right.iloc[0]["outline"]), step, tolerance))
+
+    outlines = boundaries.select(F.col("project").alias("place"), F.col("geom").alias("outline"))
+    return points.groupBy("project").cogroup(outlines.groupBy("place")).applyInPandas(build, LAYER)
+
+
+def forest_layers(nodes: DataFrame, boundaries: DataFrame, slicing: str = "solid", changes: tuple = (), offset: float = 1.0, glue_margin: float = 0.0, tolerance: float = AREA_TOLERANCE) -> DataFrame:
+    """Layers of every project's containment forest. nodes: project, id, parent, geom, elevation, descending."""
+
+    def build(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return layer_rows("", [])
+        own = [{"id": r.id, "geom": from_row(r.geom), "elevation": float(r.elevation), "descending": bool(r.descending)} for r in left.sort_values("id", kind="stable").itertuples()]
+        parents = {r.id: r.parent for r in left.itertuples() if r.parent is not None and not pd.isna(r.parent)}
+        out = ring_layers(own, parents, from_row(right.iloc[0]["outline"]), slicing, changes, offset, glue_margin, tolerance)
+        return layer_rows(left.iloc[0]["project"], out)
+
+    outlines = boundaries.select(F.col("project").alias("place"), F.col("geom").alias("outline"))
+    return nodes.groupBy("project").cogroup(outlines.groupBy("place")).applyInPandas(build, LAYER)
+
+
 def expanded_repeats(layers: DataFrame) -> DataFrame:
     """Run-length layers, one row each."""
     return layers.select("*", F.explode(S.repeat_elevations(F.col("elevation"), F.coalesce("repeat_interval", F.lit(0.0)), F.col("repeat_count"))).alias("at")).withColumn("elevation", F.col("at")).drop("at")
