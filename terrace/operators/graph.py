@@ -2,98 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the cluster's checkpoint folder; where none is named, in a folder of the warehouse, which all share."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "k") -> DataFrame:
+    """Rows numbered from 0 in an order that tells all apart, without one task for all: sorted in ranges, counted by range."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = checkpointed(sorted_.withColumns({"part": F.shiftrightunsigned("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)}))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    # one row a range
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return rows.join(F.broadcast(starts), "part").withColumn(name, F.col("start") + F.col("at")).drop("part", "at", "start")
+
+
 def depths(parents: DataFrame, key: str = "project") -> DataFrame:
     """(key, child, parent) of a forest to (key, id, depth), roots at 0: pointer doubling, so log2(depth) rounds."""
+    parents = checkpointed(parents)
     kids = parents.select(key, F.col("child").alias("id"), F.col("parent").alias("up"), F.lit(1).alias("depth"))
     tops = parents.select(key, F.col("parent").alias("id")).distinct().join(kids.select(key, "id"), [key, "id"], "left_anti")
-    state = _checkpointed(kids.unionByName(tops.select(key, "id", F.lit(None).cast(kids.schema["up"].dataType).alias("up"), F.lit(0).alias("depth"))))
+    state = checkpointed(kids.unionByName(tops.select(key, "id", F.lit(None).cast(kids.schema["up"].dataType).alias("up"), F.lit(0).alias("depth"))))
     while not state.filter("up is not null").isEmpty():
         far = state.select(key, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        state = _checkpointed(state.join(far, [key, "up"], "left").select(key, "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        state = checkpointed(state.join(far, [key, "up"], "left").select(key, "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
     return state.select(key, "id", "depth")
 
 
 def assign_elevations(nodes: DataFrame, parents: DataFrame, base: int, changes: list[int], interval: float = 1.0, key: str = "project") -> DataFrame:
     """Elevations along the forest from a base node: a child is one step up, a parent one step down; the step flips at
-    the nodes in ``changes`` (not the base) and stays so beyond. Unreachable nodes have null. Paths in a forest are
-    unique, so a frontier of joins visits each node once."""
-    up = parents.select(key, F.col("child").alias("u"), F.col("parent").alias("v"), F.lit(-1).alias("way"))
-    edges = _checkpointed(up.unionByName(up.select(key, F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).alias("way"))))
-    front = nodes.filter(F.col("id") == base).select(key, "id", F.lit(0.0).alias("elevation"), F.lit(float(interval)).alias("step"), F.lit(None).cast(nodes.schema["id"].dataType).alias("via"))
-    seen = front = _checkpointed(front)
-    while not front.isEmpty():
-        nxt = front.join(edges, (front[key] == edges[key]) & (front["id"] == edges["u"])).drop(edges[key])
-        nxt = nxt.filter(F.col("via").isNull() | (F.col("v") != F.col("via")))
-        step = F.when(F.col("v").isin(changes) & (F.col("v") != base), -F.col("step")).otherwise(F.col("step")) if changes else F.col("step")
-        nxt = nxt.withColumn("turned", step)
-        front = _checkpointed(nxt.select(key, F.col("v").alias("id"), (F.col("elevation") + F.col("way") * F.col("turned")).alias("elevation"), F.col("turned").alias("step"), F.col("u").alias("via")))
-        seen = seen.unionByName(front)
-    return nodes.select(key, "id").join(seen.select(key, "id", "elevation"), [key, "id"], "left")
-
-
-#: Up to so many edges a task finds a project's components by itself.
-FEW_EDGES = 200_000
-
-
-def _joined(key: str):
-    def run(pdf):
-        import pandas as pd
-
-        up: dict = {}
-
-        def top(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for u, v in zip(pdf["u"], pdf["v"], strict=True):
-            a, b = sorted((top(u), top(v)))
-            up[b] = a
-        ids = list(up)
-        return pd.DataFrame({key: pdf[key].iloc[0], "id": ids, "component": [top(x) for x in ids]})
-
-    return run
+    the nodes in ``changes`` (not the base) and stays so beyond. Unreachable nodes have null.
+
+    The tree is hung up at the base: the base's ancestors point to their child on the way to it, all others to their
+    parent. Each node knows how the stretch from the node it points to changes the height and the sign; stretches compose,
+    so pointers are doubled, and depth takes log2(depth) rounds."""
+    chain = checkpointed(nodes.filter(F.col("id") == base).select(key, "id").distinct())
+    tree = parents.select(key, F.col("child").alias("id"), F.col("parent").alias("up"))
+    tree = jump = checkpointed(tree.join(chain.select(key), key, "left_semi"))  # other projects don't have the base
+    while True:
+        more = chain.join(jump, [key, "id"]).select(key, F.col("up").alias("id")).join(chain, [key, "id"], "left_anti").distinct()
+        more = checkpointed(more)
+        if more.isEmpty():
+            break
+        chain = checkpointed(chain.unionByName(more))
+        on = jump.select(key, F.col("id").alias("up"), F.col("up").alias("beyond"))
+        jump = checkpointed(jump.join(on, [key, "up"]).select(key, "id", F.col("beyond").alias("up")))
+    down = tree.join(chain, [key, "id"], "left_anti").withColumn("way", F.lit(1.0))
+    up = tree.join(chain, [key, "id"]).select(key, F.col("up").alias("id"), F.col("id").alias("up"), F.lit(-1.0).alias("way"))
+    turn = F.when(F.col("id").isin(changes), -1.0).otherwise(1.0) if changes else F.lit(1.0)
+    steps = down.unionByName(up).select(key, "id", "up", (F.col("way") * turn).alias("rise"), turn.alias("sign"), F.lit(False).alias("hit"))
+    ends = nodes.select(key, "id").distinct().join(steps.select(key, "id"), [key, "id"], "left_anti")
+    ends = ends.select(key, "id", F.lit(None).cast(steps.schema["up"].dataType).alias("up"), F.lit(0.0).alias("rise"), F.lit(1.0).alias("sign"), (F.col("id") == base).alias("hit"))
+    state = checkpointed(steps.unionByName(ends))
+    while not state.filter("up is not null").isEmpty():
+        on = state.select(key, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("rise").alias("rise2"), F.col("sign").alias("sign2"), F.col("hit").alias("hit2"))
+        joined = state.join(on, [key, "up"], "left")
+        far = F.col("up2").isNotNull() | F.col("hit2").isNotNull()
+        state = checkpointed(joined.select(
+            key, "id", F.col("up2").alias("up"), F.when(far, F.col("rise2") + F.col("sign2") * F.col("rise")).otherwise(F.col("rise")).alias("rise"),
+            F.when(far, F.col("sign2") * F.col("sign")).otherwise(F.col("sign")).alias("sign"), F.coalesce(F.col("hit2"), F.col("hit")).alias("hit"),
+        ))
+    return nodes.select(key, "id").join(state.filter("hit").select(key, "id", (F.col("rise") * interval).alias("elevation")), [key, "id"], "left")
 
 
-def components(edges: DataFrame, key: str = "project", few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, key: str = "project") -> DataFrame:
     """Connected components of (key, u, v): (key, id, component), component the least id. Nodes hook to their least
     neighbour and edges contract; after the first round, which is enough for stars, pointers are doubled three times
-    before, so a chain shrinks to an eighth. Few edges, as counted, need no rounds: a task per project joins them. Edges of
-    a null key are a project of their own."""
-    e = _checkpointed(edges.filter("u <> v").select(key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    if e.count() <= few:
-        kinds = {f.name: f.dataType.simpleString() for f in e.schema}
-        return e.groupBy(key).applyInPandas(_joined(key), f"{key} {kinds[key]}, id {kinds['u']}, component {kinds['u']}")
+    before, so a chain shrinks to an eighth. Edges of a null key are a project of their own."""
+    e = checkpointed(edges.filter("u <> v").select(key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
     def joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
         """Null-safe in the key; the right side's columns of the join go."""
         other = right.withColumnsRenamed({key: "other_key", on: "other_on"})
         return left.join(other, F.col(key).eqNullSafe(F.col("other_key")) & (F.col(on) == F.col("other_on")), how).drop("other_key", "other_on")
 
-    label = _checkpointed(e.select(key, F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")))
+    label = checkpointed(e.select(key, F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")))
     first = True
     while not e.isEmpty():
         both = e.unionByName(e.select(key, F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = _checkpointed(both.groupBy(key, F.col("u").alias("node")).agg(F.min("v").alias("m")).select(key, "node", F.least("m", "node").alias("to")))
+        hook = checkpointed(both.groupBy(key, F.col("u").alias("node")).agg(F.min("v").alias("m")).select(key, "node", F.least("m", "node").alias("to")))
         for _ in range(0 if first else 3):
             on = hook.select(key, F.col("node").alias("to"), F.col("to").alias("beyond"))
-            hook = _checkpointed(joined(hook, on, "to").select(key, "node", F.col("beyond").alias("to")))
+            hook = checkpointed(joined(hook, on, "to").select(key, "node", F.col("beyond").alias("to")))
         first = False
-        label = _checkpointed(joined(label, hook.withColumnRenamed("node", "component"), "component", "left").select(key, "id", F.coalesce("to", "component").alias("component")))
+        label = checkpointed(joined(label, hook.withColumnRenamed("node", "component"), "component", "left").select(key, "id", F.coalesce("to", "component").alias("component")))
         moved = joined(joined(e, hook.select(key, F.col("node").alias("u"), F.col("to").alias("a")), "u"), hook.select(key, F.col("node").alias("v"), F.col("to").alias("b")), "v")
-        e = _checkpointed(moved.filter("a <> b").select(key, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        e = checkpointed(moved.filter("a <> b").select(key, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     return label

@@ -333,8 +333,9 @@ SELECT sheet, CAST(k % cols AS DOUBLE) * 740e0 AS dx, CAST(k // cols AS DOUBLE)
 def sheet_grid_offsets(spark, d):
     """Places of sheets of 720 x 430 on one drawing, 20 apart."""
     sheets = A.read(spark, d, "orders").select(F.col("o_orderkey").alias("sheet")).distinct()
-    k, n = F.row_number().over(Window.orderBy("sheet")) - 1, F.count("*").over(Window.partitionBy())
-    rows = sheets.withColumns({"k": k, "cols": S.sheet_columns(n, F.lit(720.0), F.lit(430.0))})
+    rows = graph.numbered(sheets, [F.col("sheet")])
+    n = rows.agg(F.count("*").alias("n"))
+    rows = rows.crossJoin(F.broadcast(n)).withColumn("cols", S.sheet_columns(F.col("n"), F.lit(720.0), F.lit(430.0)))  # one row
     return rows.select("sheet", ((F.col("k") % F.col("cols")) * 740.0).alias("dx"), (F.floor(F.col("k") / F.col("cols")) * 450.0).alias("dy"))
 
 
@@ -461,7 +462,8 @@ def parse_id_lists(spark, d):
 @query("id_sort_order", f"SELECT id, row_number() OVER (ORDER BY CASE WHEN n IS NULL THEN 1 ELSE 0 END, coalesce(n, 0), CASE WHEN n IS NULL THEN lower(trim(t)) ELSE '' END, id) AS place FROM (SELECT id, t, CASE WHEN regexp_full_match(trim(t), '[+-]?[0-9]+') THEN CAST(trim(t) AS BIGINT) END AS n FROM (SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(t, '') ELSE CAST(id * 7 % 100 AS VARCHAR) END AS t FROM {_TEXTS}))".replace("CAST(trim(t) AS BIGINT)", "try_cast(trim(t) AS BIGINT)"))
 def id_sort_order(spark, d):
     rows = texts(spark, d).withColumn("t", F.when(F.col("id") % 3 == 0, F.coalesce("t", F.lit(""))).otherwise((F.col("id") * 7 % 100).cast("string")))
-    return rows.select("id", F.row_number().over(Window.orderBy(S.id_sort_key(F.col("t")), "id")).cast("long").alias("place"))
+    keyed = rows.select("id", S.id_sort_key(F.col("t")).alias("s")).select("id", "s.*")
+    return graph.numbered(keyed, [F.col(c) for c in ("kind", "number", "text", "id")]).select("id", (F.col("k") + 1).alias("place"))
 
 
 @query("format_labels", "SELECT p_partkey AS id, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(printf('%.2f', v), '0'), '.') END AS label FROM (SELECT p_partkey, p_size * 0.25e0 AS v FROM part)")

@@ -306,12 +306,12 @@ def polylines(spark, d) -> DataFrame:
     a, b, c, o = pt(e["minx"], e["miny"]), pt(e["maxx"], e["miny"]), pt(e["maxx"], e["maxy"]), pt(e["minx"], e["maxy"])
     ring = F.when(k % 6 == 1, F.array(a, c, b, o)).when(k % 6 == 2, F.array(a, b, c, o, a)).otherwise(F.array(a, b, c, o))
     return A.contours(spark, d).select(
-        (k % 3).cast("string").alias("file"), k.cast("int").alias("entity"), F.lit("LWPOLYLINE").alias("kind"), F.col("layer").cast("string").alias("layer"), (~(k % 6).isin(2, 5)).alias("closed"), ring.alias("points"),
+        F.floor(k / 500).cast("string").alias("file"), k.cast("int").alias("entity"), F.lit("LWPOLYLINE").alias("kind"), F.col("layer").cast("string").alias("layer"), (~(k % 6).isin(2, 5)).alias("closed"), ring.alias("points"),
         F.lit(256).alias("color"), F.lit("BYLAYER").alias("linetype"), F.lit(-1).alias("lineweight"), F.lit(None).cast("string").alias("error"),
     )
 
 
-_CLOSED = f"(SELECT *, CAST(id % 3 AS VARCHAR) AS file, id % 6 <> 1 AS valid, CASE WHEN id % 6 = 2 THEN 'closed_coordinates' ELSE 'closed_flag' END AS kind FROM {CONTOURS} WHERE id % 6 <> 5)"
+_CLOSED = f"(SELECT *, CAST(id // 500 AS VARCHAR) AS file, id % 6 <> 1 AS valid, CASE WHEN id % 6 = 2 THEN 'closed_coordinates' ELSE 'closed_flag' END AS kind FROM {CONTOURS} WHERE id % 6 <> 5)"
 
 
 @query("diagnosed_layers", f"SELECT file, CAST(layer AS VARCHAR) AS layer, count(*) AS closed, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid FROM {_CLOSED} GROUP BY ROLLUP (file, CAST(layer AS VARCHAR)) HAVING file IS NOT NULL")

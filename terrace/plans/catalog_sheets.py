@@ -146,9 +146,9 @@ def sheet_linework(spark, d):
     return segs.groupBy("project", "sheet", "role").agg(F.round(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), 4).alias("length"))
 
 
-@query("sheet_labels", "SELECT CAST(s_suppkey % 5 AS VARCHAR) AS project, CAST(s_suppkey // 5 AS INT) AS sheet, round(5e0 + 20 + s_suppkey % 11 + 3 + 3 * 0.08e0, 4) AS minx, round(15e0 + s_suppkey % 7 + 3, 4) AS miny FROM supplier")
+@query("sheet_labels", "SELECT CAST(s_suppkey % 5 AS VARCHAR) AS project, CAST(s_suppkey // 5 AS INT) AS sheet, round(5e0 + 20 + s_suppkey % 11 + 3 + 3 * 0.08e0, 4) AS minx, round(5e0 + (10 + s_suppkey % 7) / 2e0 - 1.5e0, 4) AS miny FROM supplier")
 def sheet_labels(spark, d):
-    """A label beside a piece whose other sides have no room: a gap after it and above it; its first glyph is a seven."""
+    """A label beside a piece that has no room below: a gap after it, level with its middle; its first glyph is a seven."""
     segs = X.linework(one_piece_sheets(spark, d, True), BED, 5.0).filter("role = 'mark'")
     return segs.groupBy("project", "sheet").agg(F.round(F.min(F.least("x0", "x1")), 4).alias("minx"), F.round(F.min(F.least("y0", "y1")), 4).alias("miny"))
 

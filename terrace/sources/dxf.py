@@ -2,8 +2,10 @@
 
 ``spark.read.format("dxf").load(path)`` gives one row per entity of model space: file, entity (its number), kind, layer,
 closed (flag), points (x, y, z), color, linetype, lineweight, error. A file that can't be read is one row with an error.
-The option ``layer`` reads one layer only. Files are the unit of parallelism. Files come from the driver's view of the path: use ``read_drawings`` for stores that
-only Spark reads, which parses the bytes that Spark's own binary reader loads.
+The option ``layer`` reads one layer only. Files are the unit of parallelism.
+
+The format's reader and writer open files themselves, so they are for folders that the driver and all executors mount. On
+any other store use ``read_drawings`` and ``write_drawings``, which go through Spark's own readers and writers.
 """
 
 from __future__ import annotations
@@ -137,6 +139,19 @@ def read_drawings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def write_drawings(sheets: DataFrame, path: str, text: str = "dxf") -> None:
+    """Drawings (file, dxf), one text file each in a folder ``file=...``, which ``read_drawings(path + "/*")`` reads. Written
+    by Spark, so it works on every store and a lost task leaves nothing behind."""
+    body = F.regexp_replace(F.col(text), r"\n$", "")  # the writer ends the last line
+    sheets.select("file", body.alias("value")).write.partitionBy("file").mode("error").text(path)
+
+
+def ingest(drawings: DataFrame, layer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Polygons, survey points and the entities they come from, which are parsed once and kept for all that read them."""
+    kept = drawings.cache()
+    return polygons(kept), survey_points(kept, layer), kept
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -52,3 +52,12 @@ def test_drawing_to_layers_as_batch_and_stream(spark, tmp_path):
     q = D.run_pipeline(D.drawing_stream(spark, d), pipeline, f"{tmp_path}/t", f"{tmp_path}/c")
     q.awaitTermination(120)
     assert sorted(r.source_elevation for r in spark.read.parquet(f"{tmp_path}/t").collect()) == levels
+
+
+def test_drawings_written_and_read_by_spark(spark, tmp_path):
+    sheets = spark.createDataFrame([("a", dxf.sample_drawing()), ("b/1", dxf.drawing({"cut": 1}, [("cut", (0, 0), (5, 1))])), ("c", "no drawing")], "file string, dxf string")
+    dxf.write_drawings(sheets, f"{tmp_path}/out")
+    polygons, points, entities = dxf.ingest(dxf.read_drawings(spark, f"{tmp_path}/out/*"))
+    assert polygons.count() == 5 and points.count() == 13
+    assert entities.filter("kind = 'LINE'").count() == 1 and entities.filter("error is not null").count() == 1
+    entities.unpersist()
