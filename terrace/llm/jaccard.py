@@ -35,7 +35,7 @@ from .common import components, ensure_checkpoint_dir, forget, stored, table, te
 N = 4
 PERCENT = 85
 #: Bytes of text in a chunk; a task's arrays take some hundred bytes a byte.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -374,6 +374,8 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
 
 #: Documents of a key's group that are compared in one task; larger groups are cut into blocks, every two of which meet.
 BLOCK = 2000
+#: Rows of an anchor's groups that go to one task, about; those of a larger anchor are dealt by key.
+ANCHOR_ROWS = 2 * BLOCK
 #: Pairs that a task keeps to find repeats before it hands them on.
 KEPT_PAIRS = 500_000
 
@@ -474,16 +476,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     links = _verify(tested, sketches, plain, n, percent)
     label = components(links)
     # groups that are still in parts: what of them is apart is compared pair by pair. Keys with the same rows are one
-    # group, and groups with the same least document come to one task, which drops the repeats of a pair
+    # group, and groups with the same least document come to few tasks, which drop the repeats of a pair
     told = rows.join(label.withColumnRenamed("id", "own"), F.col("x.id") == F.col("own"), "left").select("key", "x.*", F.coalesce("component", "id").alias("c"))
     marks = [F.bit_xor(F.xxhash64(*cols)).alias(f"mark{i}") for i, cols in enumerate((("id", "asks", "deleted"), ("deleted", "asks", "id")))]
     parts = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("asks").alias("asked"), F.count("*").alias("size"), F.min("id").alias("anchor"), *marks)
     parts = parts.filter("low <> high and asked").groupBy("mark0", "mark1", "size", "anchor").agg(F.min("key").alias("key"))
-    parts = parts.select("key", "anchor", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    deals = parts.groupBy("anchor").agg(F.ceil(F.sum("size") / ANCHOR_ROWS).alias("deals"))
+    parts = parts.join(deals, "anchor").select("key", "anchor", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("key"), F.col("deals")).alias("deal"))
     told = told.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     told = told.join(sketches.select("id", "sketch"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    told = told.select("anchor", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "asks", "deleted", "c", "sketch")
-    apart = told.repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "key", "lo", "hi", "id").mapInArrow(_apart(percent), "u long, v long").distinct()
+    told = told.select("anchor", "deal", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "asks", "deleted", "c", "sketch")
+    apart = told.repartition("anchor", "deal", "lo", "hi").sortWithinPartitions("anchor", "deal", "key", "lo", "hi", "id").mapInArrow(_apart(percent), "u long, v long").distinct()
     more = _verify(apart.join(tested, ["u", "v"], "left_anti"), sketches, plain, n, percent)
     label = components(links.unionByName(more)) if not more.isEmpty() else label
     forget(spark, path)
