@@ -3,6 +3,7 @@ columns with names that operators use inside; against brute force where there is
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -152,9 +153,18 @@ def test_blocks_are_pruned():
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
     _, term, _, _ = topk.terms_of(data, offsets)
     terms, df = np.unique(term, return_counts=True)
-    index = topk.Index(np.arange(len(texts)), data, offsets, terms, df.astype(float), len(texts), 4006)
-    ids, _, opened = index.search(np.arange(len(terms)), 3)
+    index = topk.Index(np.arange(len(texts)), data, offsets, len(texts), 4006)
+    ids, _, opened = index.search(terms, df.astype(float), 3)
     assert sorted(ids) == [4000, 4001, 4002] and opened < index.n_blocks / 4
+    assert len(index.search(terms[:0], df[:0].astype(float), 3)[0]) == 0 and len(index.search(terms + 1, df.astype(float), 3)[0]) == 0
+    empty = topk.Index(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64), 0, 0)
+    assert len(empty.search(terms, df.astype(float), 3)[0]) == 0
+
+
+def test_very_long_texts_are_searched_whole(spark):
+    docs = table(spark, [(0, "needle hay", "s"), (1, "hay " * 60000 + "needle", "s"), (2, "hay straw", "s")])
+    got = {r.doc_id: r.rank for r in topk.search(docs, docs.filter("doc_id = 0")).collect()}
+    assert set(got) == {0, 1, 2} and got[0] == 1
 
 
 # --- notices
@@ -218,6 +228,48 @@ def test_seeds_lose_no_match_with_long_characters():
                 assert any(m[0] <= len(before) + 8 and t[m[0] - 1 : m[0]] == t[m[1] : m[1] + 1] == b" " for m in own), s
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def nearest_runs(words):
+    """Per label the least share of edits of any run of words that is within the allowed edits of one of its notices."""
+    out = {}
+    for notice, label in notices.NOTICES:
+        n, k = len(notice), len(notice) // notices.EDIT_EVERY
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                run = " ".join(words[i:j])
+                if len(run) > n + k:
+                    break
+                if len(run) >= n - k and (d := edit_distance(notice, run)) <= k:
+                    out[label] = min(out.get(label, 1.0), d / n)
+    return out
+
+
+def test_notices_against_all_runs_of_words():
+    r = random.Random(11)
+    for turn in range(60):
+        notice, _ = notices.NOTICES[turn % len(notices.NOTICES)]
+        s = list(notice)
+        for _ in range(r.randrange(len(notice) // notices.EDIT_EVERY + 2)):
+            k = r.randrange(len(s))
+            s[k : k + r.randrange(2)] = r.choice(["", "q", " ", "\u00e9", "\U0001f600", "e"])
+        words = f"{r.choice(['', 'one all', 'é rights'])} {''.join(s)} {r.choice(['', 'reserved', 'x public'])}".split()
+        want = nearest_runs(words)
+        found = notices.search(notices.folded(" ".join(words)))
+        assert {m[2] for m in found} == set(want), words
+        assert max((1 - m[3] / m[4] for m in found), default=0.0) == pytest.approx(1 - min(want.values(), default=1.0)), words
+        for a, b, label, edits, n in found:
+            run = notices.folded(" ".join(words))[a:b].decode()
+            assert any(edit_distance(x, run) == edits for x, y in notices.NOTICES if y == label and len(x) == n)
+
+
 def test_notice_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
     for g in notices.op3_license_scan(spark, D).collect():
@@ -233,16 +285,55 @@ def test_grammar():
     assert score("you idiot") > score("idiot") > score("she said idiot") > 0
     assert score("idiot") > score("not an idiot") and score("not a word of it all, idiot") == score("x, idiot")
     assert score("nothing here. all fine") == 0 and m.clauses("") == []
-    one = toxicity.compose(toxicity.NEGATION, toxicity.TARGETED)
-    for word in itertools.product(toxicity.SYMBOLS, repeat=3):
-        s, f = one.start, 1.0
-        states, g = [toxicity.NEGATION.start, toxicity.TARGETED.start], 1.0
-        for x in word:
-            s, k = one.step[s, x]
-            f *= k
-            moves = [t.move(p, x) for t, p in zip((toxicity.NEGATION, toxicity.TARGETED), states, strict=True)]
-            states, g = [p for p, _ in moves], g * moves[0][1] * moves[1][1]
-        assert f == pytest.approx(g)
+    assert score("I kill you") > score("kill the process") > score("never kill it") and score("kill you") > score("she said kill you") and score("kill you") > score("kill it")
+
+
+def plain_clause(model, clause):
+    """A clause's score by the rules, word by word."""
+    total, insulted, target, waiting, scope, reported = 0.0, False, False, False, 0, False
+    for word in toxicity.WORD.findall(clause):
+        kind, weight = model.read(word)
+        damp = (0.3 if scope else 1.0) * (0.5 if reported else 1.0)
+        if kind == "insult":
+            total += weight * damp * (1.1 if insulted else 1.0) * (1.2 if target else 1.0)
+            insulted = True
+        elif kind == "threat":
+            total += weight * damp * (1.0 if target and not waiting else 0.4)
+            waiting = waiting or not target
+        elif kind == "target":
+            if waiting:
+                total += 0.6 * damp
+            waiting, target = False, True
+        reported = reported or kind == "report"
+        scope = 3 if kind == "negation" else max(0, scope - 1)
+    return total
+
+
+def test_grammar_against_plain_rules(spark):
+    import random
+
+    m, r = toxicity.Model(), random.Random(4)
+    words = "idiot stupid kill hurt you they not never said wrote the process fine . ! no".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(25))) for _ in range(800)]
+    texts += [d.text or "" for d in spark.read.parquet(f"{D}/documents.parquet").select("text").collect()]
+    for t in texts:
+        want = [s for s in (plain_clause(m, c) for c in toxicity.CLAUSE.split(t.lower())) if s]
+        assert [s for _, s in m.clauses(t)] == pytest.approx(want)
+        z = m.curve[0] + m.curve[1] * math.log1p(sum(want)) + m.curve[2] * math.log1p(max(want, default=0)) + m.curve[3] * math.log1p(500 * sum(want) / (20 + len(t)))
+        assert m.score(t) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_counts_that_are_learned_from(spark):
+    """Words and beginnings as tasks count them, against counting in one place."""
+    rows = [(k, f"Wort{k % 7} idiot{k % 2} common Ünïted x{k}", int(k % 3 == 0)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, mark int").repartition(5).select("text", "mark")
+    known = frozenset({"common"})
+    for features in (toxicity.word_set, lambda t: toxicity.beginnings(toxicity.word_set(t), known)):
+        want = {}
+        for _, t, m in rows:
+            for f in features(t):
+                want.setdefault(f, [0, 0])[1 - m] += 1
+        assert toxicity._counted(df, features) == sorted((f, a, b) for f, (a, b) in want.items() if a >= toxicity.LEAST_ROWS)
 
 
 def test_toxicity_rows(spark):
