@@ -1,11 +1,14 @@
 """Exact top-k search by BM25 over an inverted index with block maxima.
 
-Documents are dealt to shards; a shard's documents stand in the order of their commonest query word and length, so that
-alike documents share blocks. For each term and block the index has the greatest contribution of a posting. A query first
+Documents are dealt to shards; a shard's documents stand in the order of their commonest heavy word and length, so that
+alike documents share blocks. For each term and block the index has the greatest weight of a posting. A query first
 sums these maxima: blocks whose sum is below the k-th best score so far can have no result and are never opened (block-max
 WAND with blocks aligned over terms, taken in the order of their bounds). Document counts, lengths and term frequencies
 are those of all documents, so shards' scores are comparable and their k best merge to the exact k best.
 
+A task reads a shard's documents, builds its index, and then answers the queries as they stream by, so its memory is bounded
+by the shard, however many queries there are. Queries carry the document counts of their terms; the index doesn't need them.
+
 Contributions are rounded to millionths and summed as integers, so scores don't depend on the order of summation, and
 ties are real ties: the smaller doc_id wins. Terms are words of letters, digits and other non-ASCII characters, A-Z in
 lower case, told by 64-bit hashes; a query's repeated words count once.
@@ -79,39 +82,39 @@ def _terms(batches: Iterator) -> Iterator:
 
 
 class Index:
-    """A shard: postings of the terms that queries ask for, by term and block, and block maxima."""
+    """A shard: postings by term and block, and block maxima. Weights are without the terms' rarity, which a query brings."""
 
-    def __init__(self, ids, data, offsets, terms: np.ndarray, df: np.ndarray, n_docs: int, n_words: int):
-        self.terms = terms
+    def __init__(self, ids, data, offsets, n_docs: int, n_words: int):
+        self.n_docs = n_docs
         parts, words = [], np.zeros(len(offsets) - 1, np.int64)
         for a, b in cut_buffer(data, offsets):
             doc, term, tf, words[a:b] = terms_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            at = np.searchsorted(terms, term)
-            at[at == len(terms)] = 0
-            asked = terms[at] == term if len(terms) else np.zeros(len(term), bool)
-            parts.append((doc[asked] + a, at[asked], tf[asked]))
-        doc, at, tf = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+            parts.append(((doc + a).astype(np.int32), term, tf.astype(np.int32)))
+        doc, term, tf = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+        del parts
+        self.terms, at = np.unique(term, return_inverse=True)
+        del term
+        at = at.astype(np.int32)
         # alike documents next to each other: by the commonest term they have much of, then by length
         lead = np.full(len(words), -1)
-        by = np.lexsort((df[at], tf, doc))
-        last = np.append(doc[by][1:] != doc[by][:-1], True) if len(by) else np.zeros(0, bool)
-        lead[doc[by][last]] = at[by][last]
+        if len(doc):
+            by = np.lexsort((np.bincount(at)[at], tf, doc))
+            last = np.append(doc[by][1:] != doc[by][:-1], True)
+            lead[doc[by][last]] = at[by][last]
         order = np.lexsort((words, lead))
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.ids = np.asarray(ids)[order]
-        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        value = idf[at] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(n_words / max(n_docs, 1), 1e-9))))
-        value = np.rint(value * UNIT)
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(n_words / max(n_docs, 1), 1e-9)))
         doc = place[doc]
         by = np.lexsort((doc, at))
-        self.doc, self.value, at = doc[by], value[by], at[by]
-        cell = at * (len(words) // BLOCK + 1) + self.doc // BLOCK
+        self.doc, self.weight, at = doc[by], weight[by], at[by]
+        cell = at.astype(np.int64) * (len(words) // BLOCK + 1) + self.doc // BLOCK
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         self.cells = np.append(first, len(cell))
         self.block = self.doc[first] // BLOCK
-        self.most = np.maximum.reduceat(self.value, first) if len(first) else self.value
-        self.ranges = np.searchsorted(at[first], np.arange(len(terms) + 1))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.ranges = np.searchsorted(at[first], np.arange(len(self.terms) + 1))
         self.n_blocks = len(words) // BLOCK + 1
 
     @staticmethod
@@ -119,28 +122,37 @@ class Index:
         n = ends - starts
         return np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
 
-    def search(self, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best documents with a hit, and how many blocks were opened."""
-        cells = self._spread(self.ranges[asked], self.ranges[asked + 1])
-        bound = np.bincount(self.block[cells], self.most[cells], self.n_blocks)
+    def search(self, asked: np.ndarray, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k best documents with a hit, and how many blocks were opened. asked: distinct terms; df: in
+        how many of all documents each is."""
+        here = np.searchsorted(self.terms, asked)
+        own = np.flatnonzero(self.terms[np.minimum(here, len(self.terms) - 1)] == asked) if len(self.terms) else np.zeros(0, np.int64)
+        here = here[own]
+        idf = np.log1p((self.n_docs - df[own] + 0.5) / (df[own] + 0.5))
+        cells = self._spread(self.ranges[here], self.ranges[here + 1])
+        rarity = np.repeat(idf, self.ranges[here + 1] - self.ranges[here])
+        bound = np.bincount(self.block[cells], np.rint(rarity * self.most[cells] * UNIT), self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 4
         # cells by block, so that opening blocks reads only their postings
-        cells = cells[np.argsort(self.block[cells], kind="stable")]
+        by = np.argsort(self.block[cells], kind="stable")
+        cells, rarity = cells[by], rarity[by]
         edges = np.searchsorted(self.block[cells], np.arange(self.n_blocks + 1))
         while at < len(order) and (len(ids) < k or bound[order[at]] >= scores.min()):
             blocks = order[at : at + step]
             if len(ids) == k:
                 blocks = blocks[bound[blocks] >= scores.min()]
-            own = cells[self._spread(edges[blocks], edges[blocks + 1])]
+            opened = self._spread(edges[blocks], edges[blocks + 1])
+            own = cells[opened]
             posting = self._spread(self.cells[own], self.cells[own + 1])
+            value = np.rint(np.repeat(rarity[opened], self.cells[own + 1] - self.cells[own]) * self.weight[posting] * UNIT)
             # documents numbered by the opened blocks
             slot = np.full(self.n_blocks, -1)
             slot[blocks] = np.arange(len(blocks))
             doc = self.doc[posting]
-            total = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, self.value[posting], len(blocks) * BLOCK)
+            total = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, value, len(blocks) * BLOCK)
             hit = np.flatnonzero(total)
             ids = np.append(ids, self.ids[blocks[hit // BLOCK] * BLOCK + hit % BLOCK])
             scores = np.append(scores, total[hit])
@@ -153,24 +165,43 @@ class Index:
 FOUND = "query long, id long, score long"
 
 
-def _shard(k: int, n_docs: int, n_words: int):
-    def run(key, left, right):
+def _answers(k: int, n_docs: int, n_words: int):
+    """From rows sorted by shard, in each its documents before the queries: what the shard finds for each query."""
+
+    def found(index: Index, part) -> Iterator:
         import pyarrow as pa
 
-        lists = right.column("terms").combine_chunks()
-        flat = lists.flatten().to_numpy()
-        ends = np.append(lists.offsets.to_numpy()[: len(lists)], lists.offsets.to_numpy()[-1:])
-        ends = ends - ends[0] if len(ends) else np.zeros(1, np.int64)
-        terms, first, at = np.unique(flat, return_index=True, return_inverse=True)
-        df = right.column("dfs").combine_chunks().flatten().to_numpy()[first].astype(float)
-        index = Index(left.column("id").fill_null(_NULL).to_numpy(), *text_buffer(left.column("text")), terms, df, n_docs, n_words)
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        for i, q in enumerate(right.column("query").to_pylist()):
-            ids, scores, _ = index.search(at[ends[i] : ends[i + 1]], k)
+        terms, dfs = (part.column(c) for c in ("terms", "dfs"))
+        for i, q in enumerate(part.column("id").to_pylist()):
+            ids, scores, _ = index.search(terms[i].values.to_numpy(), dfs[i].values.to_numpy().astype(float), k)
             for x, v in zip(out, (np.full(len(ids), q), ids, scores), strict=True):
                 x.append(v)
         q, ids, scores = (np.concatenate(x) for x in out)
-        return pa.table({"query": pa.array(q, pa.int64()), "id": pa.array(ids, pa.int64(), mask=ids == _NULL), "score": pa.array(scores.astype(np.int64))})
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64(), mask=ids == _NULL), pa.array(scores.astype(np.int64))], names=["query", "id", "score"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        shard, documents, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("shard").to_numpy() * 2 + batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if key[a] // 2 != shard:
+                    shard, documents, index = key[a] // 2, [], None
+                if key[a] % 2 == 0:
+                    documents.append(part.select(["id", "text"]))
+                elif documents or index is not None:
+                    if index is None:
+                        whole = pa.Table.from_batches(documents)
+                        documents = []
+                        index = Index(whole.column("id").combine_chunks().fill_null(_NULL).to_numpy(), *text_buffer(whole.column("text").cast(pa.large_string())), n_docs, n_words)
+                        del whole
+                    yield from found(index, part)
 
     return run
 
@@ -188,8 +219,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, key: str = "doc_id",
     stated = stated.select("query", F.col("items.term").alias("terms"), F.col("items.df").alias("dfs"))
     shards = max(1, -(-text_bytes(documents) // shard_bytes))
     dealt = documents.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    none = F.lit(None)
+    dealt = dealt.select("shard", F.lit(0).alias("kind"), "id", "text", none.cast("array<long>").alias("terms"), none.cast("array<long>").alias("dfs"))
     sent = stated.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_shard(k, int(n_docs), int(n_words)), FOUND)
+    sent = sent.select("shard", F.lit(1).alias("kind"), F.col("query").alias("id"), none.cast("string").alias("text"), "terms", "dfs")
+    rows = dealt.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = rows.mapInArrow(_answers(k, int(n_docs), int(n_words)), FOUND)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select(F.col("query").alias("query_id"), F.col("id").alias(key), F.col("rank").cast("long").alias("rank"), (F.col("score") / UNIT).alias("score"))
