@@ -341,3 +341,13 @@ def diagnosed_overlaps(spark, d):
     return diagnose(polylines(spark, d))["overlaps"].groupBy("file", "relation").agg(F.count("*").alias("n"), F.round(F.sum("area"), 4).alias("area"))
 
 
+@query("import_reports", f"SELECT file, count(*) AS closed, count(DISTINCT layer) AS layers, count(*) FILTER (NOT valid) AS invalid FROM {_CLOSED} GROUP BY file")
+def import_reports(spark, d):
+    """The JSON report of each drawing, read back."""
+    from .export import diagnose
+    from .export import import_reports as reports
+
+    kind = "struct<totals:struct<closed:bigint>,layers:array<struct<layer:string>>,invalid_shapes:array<struct<id:int,x:double>>>"
+    rows = reports(diagnose(polylines(spark, d))).withColumn("r", F.from_json("report", kind))
+    invalid = F.filter(F.coalesce("r.invalid_shapes", F.array().cast("array<struct<id:int,x:double>>")), lambda x: x["x"].isNotNull())
+    return rows.select("file", F.col("r.totals.closed").alias("closed"), F.size("r.layers").cast("long").alias("layers"), F.size(invalid).cast("long").alias("invalid"))

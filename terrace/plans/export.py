@@ -389,6 +389,19 @@ def diagnose(drawings: DataFrame, area_tolerance: float = 1e-6, duplicate_tolera
     return {"shapes": shapes.select("file", "id", "layer", "closed_type", "valid", F.col("v.reason").alias("reason"), F.col("v.x").alias("x"), F.col("v.y").alias("y"), "area"), "layers": layers, "overlaps": overlaps, "examples": overlaps.withColumn("k", first).filter(F.col("k") <= examples).drop("k")}
 
 
+def import_reports(parts: dict[str, DataFrame]) -> DataFrame:
+    """What ``diagnose`` found, one JSON text per drawing: file, report (totals, layers, invalid shapes without their points,
+    counts of overlaps by class, the first examples)."""
+    layers = parts["layers"]
+    total = layers.filter("layer is null").select("file", F.struct("closed", "valid", "invalid").alias("totals"))
+    of = lambda df, name, *cols: df.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    out = total.join(of(layers.filter("layer is not null"), "layers", "layer", "closed", "valid", "invalid"), "file", "left")
+    out = out.join(of(parts["shapes"].filter(~F.col("valid")), "invalid_shapes", "id", "layer", "reason", "x", "y"), "file", "left")
+    out = out.join(of(parts["overlaps"].groupBy("file", "relation").agg(F.count("*").alias("n")), "overlaps", "relation", "n"), "file", "left")
+    out = out.join(of(parts["examples"], "examples", "a", "b", "relation", "area"), "file", "left")
+    return out.select("file", F.to_json(F.struct("totals", "layers", "invalid_shapes", "overlaps", "examples")).alias("report"))
+
+
 def zipped(sheets: list[tuple[int, str]], path: str, suffix: str) -> None:
     """An archive of a project's few sheet files, numbered from 1."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

@@ -76,3 +76,15 @@ def test_diagnostics(spark):
     assert {(r.layer, r.closed, r.valid, r.invalid) for r in got["layers"].collect()} == {("a", 2, 2, 0), ("b", 3, 2, 1), (None, 5, 4, 1)}
     assert {(r.a, r.b, r.relation) for r in got["overlaps"].collect()} == {(1, 2, "nested"), (1, 3, "overlap"), (1, 4, "overlap"), (3, 4, "duplicate")}
     assert [r.reason for r in got["shapes"].filter("not valid").collect()] == ["Self-intersection"]
+
+
+def test_archives_and_issue_reports(tmp_path):
+    import json
+    import zipfile
+
+    X.zipped([(0, "first"), (1, "secönd")], f"{tmp_path}/a.zip", "dxf")
+    with zipfile.ZipFile(f"{tmp_path}/a.zip") as z:
+        assert {n: z.read(n).decode() for n in z.namelist()} == {"folha_corte_1.dxf": "first", "folha_corte_2.dxf": "secönd"}
+        assert all(i.compress_type == zipfile.ZIP_DEFLATED for i in z.infolist())
+    assert json.loads(X.report_json([])) == {"ok": True, "issue_count": 0, "issues": []}
+    assert json.loads(X.report_json([{"type": "x", "message": "ç"}]))["issue_count"] == 1
