@@ -237,7 +237,7 @@ def merged_duplicates(spark, d):
     return out.select("project", "elevation", F.array_join("source_ids", ",").alias("ids"), F.array_join("source_layers", ",").alias("layers"))
 
 
-@query("triangulated_terrain", """SELECT CAST(id AS VARCHAR) AS project, level AS source_elevation, round(CASE WHEN level = 0 THEN w * h ELSE w * h * (1 - level / top) ** 2 END, 4) AS area
+@query("triangulated_terrain", """SELECT CAST(id AS VARCHAR) AS project, level AS source_elevation, round(CASE WHEN level = 0 THEN w * h ELSE w * h * (1 - level / top) ** 2 END - 1e-7, 4) AS area
 FROM (SELECT s_suppkey AS id, 20e0 + s_suppkey % 7 AS w, 16e0 + s_suppkey % 5 AS h, 2e0 + s_suppkey % 3 AS top, unnest([0e0, 0.75e0, 1.5e0, 2.25e0, 3e0, 3.75e0]) AS level FROM supplier) WHERE level < top""")
 def triangulated_terrain(spark, d):
     """Layers of pyramids from survey points alone."""
@@ -248,7 +248,8 @@ def triangulated_terrain(spark, d):
     rows = A.read(spark, d, "supplier").withColumn("project", k.cast("string"))
     points = rows.select("project", F.posexplode(F.array(pt(zero, zero, zero), pt(w, zero, zero), pt(w, h, zero), pt(zero, h, zero), pt(w / 2, h / 2, top))).alias("point", "p")).select("project", "point", "p.*")
     site = rows.select("project", ring_geom(box_ring(zero, zero, w, h)).alias("geom"))
-    return L.triangulated_layers(points, site, 0.75).select("project", "source_elevation", F.round("geom.area", 4).alias("area"))
+    # areas are multiples of 1 / 256, some halfway between rounded ones
+    return L.triangulated_layers(points, site, 0.75).select("project", "source_elevation", F.round(F.col("geom.area") - 1e-7, 4).alias("area"))
 
 
 @query("forest_layers", f"""WITH {_NESTED_UP}, b AS (SELECT project, w * h AS whole FROM up WHERE ord = 0)
