@@ -35,7 +35,7 @@ from .common import components, ensure_checkpoint_dir, forget, stored, table, te
 N = 4
 PERCENT = 85
 #: Bytes of text in a chunk; a task's arrays take some hundred bytes a byte.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
