@@ -158,6 +158,29 @@ def test_blocks_are_pruned():
     assert sorted(ids) == [4000, 4001, 4002] and opened < index.n_blocks / 4
 
 
+def test_queries_taken_together_find_what_each_finds_alone():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = [f"w{int(n)}" for n in range(400)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 9)), p=np.arange(400, 0, -1) / 80200)).encode() for _ in range(9000)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    doc, term, tf, _ = topk.terms_of(data, offsets)
+    terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
+    index = topk.Index(np.arange(len(texts))[::-1], data, offsets, terms, df.astype(float), len(texts), sum(len(t.split()) for t in texts))
+    asked = [at[doc == d] for d in range(0, 9000, 45)]
+    query, ids, scores, _ = index.search_all(np.concatenate(asked), np.cumsum([0] + [len(a) for a in asked]), 10)
+    value = np.zeros((len(texts), len(terms)))
+    length = np.array([len(t.split()) for t in texts])
+    idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
+    value[doc, at] = np.rint(idf[at] * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc] / (length.sum() / len(texts))))) * 1e6)
+    for q, a in enumerate(asked):
+        total = value[:, a].sum(1)[::-1]
+        want = np.lexsort((np.arange(len(total)), -total))[:10]
+        want = want[total[want] > 0]
+        assert ids[query == q].tolist() == want.tolist() and scores[query == q].tolist() == total[want].tolist()
+
+
 def test_very_long_texts_are_searched_whole(spark):
     docs = table(spark, [(0, "needle hay", "s"), (1, "hay " * 60000 + "needle", "s"), (2, "hay straw", "s")])
     got = {r.doc_id: r.rank for r in topk.search(docs, docs.filter("doc_id = 0")).collect()}
