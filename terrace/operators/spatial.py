@@ -90,6 +90,8 @@ def polygon_adjacency(df: DataFrame, tolerance: float = 1e-6, ident: str = "id",
 
 #: Regions a side, and cells a side of a region, by which the nearest-band join finds a project's points.
 REGIONS, CELLS = 8, 8
+#: A project's shapes that meet one copy of its regions and cells, the most copies, and the tasks that they are dealt to.
+SHAPES_A_COPY, MOST_COPIES, DEALT = 256, 256, 64
 
 
 def once(value: Column, f) -> Column:
@@ -97,24 +99,39 @@ def once(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def places(points: DataFrame, *values: str, key: str = "project") -> DataFrame:
+    """Points that stand in one place (and share the values): key, x, y, values, n, n_z and sum_z, the number of points,
+    that of their z, and the sum."""
+    return points.groupBy(key, "x", "y", *values).agg(F.count("*").alias("n"), F.count("z").alias("n_z"), F.sum("z").alias("sum_z"))
+
+
 def near_points(shapes: DataFrame, points: DataFrame, reach: float | None = None, outline=None, key: str = "project", ident: str = "id", both: bool = False) -> DataFrame:
     """Points of a shape's project by distance from its outline: within ``reach``, or (None) in the band of the nearest,
     up to max(t, 2.5 * least distance + t) with t a millionth of the shape's size. Rows: key, id, point, z, distance. With
-    ``both`` points of either kind, and flags in_band and in_reach.
+    ``both`` points of either kind, and flags in_band and in_reach. The search is for places; their points follow."""
+    found = near_places(shapes, points.select(key, "x", "y").distinct(), reach, outline, key, ident, both)
+    flags = ("in_band", "in_reach") if both else ()
+    return points.select(key, "x", "y", "point", "z").join(found, [key, "x", "y"]).select(key, ident, "point", "z", "distance", *flags)
+
+
+def near_places(shapes: DataFrame, points: DataFrame, reach: float | None = None, outline=None, key: str = "project", ident: str = "id", both: bool = False) -> DataFrame:
+    """As ``near_points``, for rows with x and y and whatever other columns, which are kept.
 
     A project's points are gathered in regions and cells of a fixed number, each known by its tight box and one of its
-    points; these are one row of bounded size a project. A shape is joined with that row alone. Within it the distance of a
-    box's middle, less half its diagonal, bounds its points' distances from below, and the known point's distance bounds
-    the least one from above: regions that the bounds close are dropped, then cells of the others. Only the cells that are
-    left meet their points, by an equi-join on the cell, so no pair of shape and cell is ever a row but those."""
+    points; these are one row of bounded size a project. A shape is joined with that row alone, of which a project with
+    many shapes has several copies, so that they are dealt to several tasks. Within it the distance of a box's middle, less
+    half its diagonal, bounds its points' distances from below, and the known point's distance bounds the least one from
+    above: regions that the bounds close are dropped, then cells of the others. Only the cells that are left meet their
+    points, by an equi-join on the cell, so no pair of shape and cell is ever a row but those."""
+    kept = [c for c in points.columns if c != key]
     outline = outline or (lambda row, x, y: env_line_distance(row["env"], x, y))
     side = REGIONS * CELLS
     span = points.groupBy(key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"))
     placed = points.join(span, key)
     cell = lambda c, c0: F.least(F.lit(side - 1), F.floor((F.col(c) - F.col(c0)) / F.col("side") * side)).cast("int")
-    placed = placed.select(key, "point", "x", "y", "z", cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy"))
+    placed = placed.select(key, *kept, cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy"))
     tight = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("one").alias("one")]
-    known = placed.groupBy(key, "cx", "cy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min(F.struct("point", "x", "y")).alias("one"))
+    known = placed.groupBy(key, "cx", "cy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min(F.struct("x", "y")).alias("one"))
     region = [F.floor(F.col(c) / CELLS).alias(r) for c, r in (("cx", "rx"), ("cy", "ry"))]
     regions = known.groupBy(key, *region).agg(*tight, F.collect_list(F.struct("cx", "cy", "x0", "x1", "y0", "y1", "one")).alias("cells"))
     maps = regions.groupBy(key).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1", "one", "cells")).alias("regions"))
@@ -142,8 +159,12 @@ def near_points(shapes: DataFrame, points: DataFrame, reach: float | None = None
 
     flat = shapes.select(key, *plain, t.alias("t"), *[e[n].alias(f"env_{n}") for n in corners])
     names = [*plain, "t", *[f"env_{n}" for n in corners]]
-    met = flat.join(maps, key).select(key, *names, F.explode(fine(coarse())).alias("c")).select(key, *names, "c.cx", "c.cy")
-    exact = met.join(placed, [key, "cx", "cy"]).select(key, ident, "t", "point", "z", outline(shape, F.col("x"), F.col("y")).alias("distance"))
+    copies = shapes.groupBy(key).agg(F.least(F.lit(MOST_COPIES), F.ceil(F.count("*") / SHAPES_A_COPY)).cast("int").alias("copies"))
+    flat = flat.join(copies, key).withColumn("copy", F.pmod(F.xxhash64(ident), F.col("copies")).cast("int"))
+    maps = maps.join(copies, key).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # a number of tasks is named, as small tables would be taken together in one
+    met = flat.drop("copies").repartition(DEALT, key, "copy").join(maps.drop("copies").repartition(DEALT, key, "copy"), [key, "copy"]).select(key, *names, F.explode(fine(coarse())).alias("c")).select(key, *names, "c.cx", "c.cy")
+    exact = met.join(placed, [key, "cx", "cy"]).select(key, ident, "t", *kept, outline(shape, F.col("x"), F.col("y")).alias("distance"))
     if reach is not None and not both:
         return exact.filter(F.col("distance") <= reach).drop("t")
     limit = F.greatest(F.col("t"), F.min("distance").over(Window.partitionBy(key, ident)) * 2.5 + F.col("t"))

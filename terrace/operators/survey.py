@@ -14,22 +14,24 @@ def mode_least(df: DataFrame, by: list[str], value: Column, name: str = "value")
     return counts.groupBy(*by).agg(F.min_by("v", F.struct((-F.col("count")).alias("n"), "v")).alias(name))
 
 
-def bucketed_mode(samples: DataFrame, by: list[str], step: float, base: float | None = None) -> DataFrame:
-    """A level for each group of samples (z, distance): the bucket with the most samples, then the least distance, the
-    least mean distance, the highest level."""
-    level = bucket_elevation(F.col("z"), F.lit(step), None if base is None else F.lit(base))
-    buckets = samples.groupBy(*by, level.alias("level")).agg(F.count("*").alias("n"), F.min("distance").alias("near"), F.avg("distance").alias("mean"))
+def bucketed_mode(samples: DataFrame, by: list[str]) -> DataFrame:
+    """A level for each group of samples (level, distance, and n, how many they are): the bucket with the most samples,
+    then the least distance, the least mean distance, the highest level."""
+    mean = F.sum(F.col("distance") * F.col("n")) / F.sum("n")
+    buckets = samples.groupBy(*by, "level").agg(F.sum("n").alias("n"), F.min("distance").alias("near"), mean.alias("mean"))
     order = F.struct((-F.col("n")).alias("n"), F.col("near"), F.col("mean"), (-F.col("level")).alias("l"))
     return buckets.groupBy(*by).agg(F.min_by("level", order).alias("level"), F.min_by("n", order).alias("votes"))
 
 
-def bucketed_votes(samples: DataFrame, by: list[str], level: Column, flags: dict[str, str]) -> DataFrame:
+def bucketed_votes(samples: DataFrame, by: list[str], flags: dict[str, str]) -> DataFrame:
     """Levels as ``bucketed_mode`` finds them, for several sets of samples in one pass: flags names for each result the
-    column that marks its samples. Per group: each result, its least distance, and the mean of z over the first set."""
+    column that marks its samples. Per group: each result, its least distance, and the mean of z over the first set, of
+    whose samples sum_z is the sum."""
     of = lambda f, value: F.when(F.col(f), value)
-    aggregates = [a for n, f in flags.items() for a in (F.count_if(F.col(f)).alias(f"n_{n}"), F.min(of(f, F.col("distance"))).alias(f"near_{n}"), F.avg(of(f, F.col("distance"))).alias(f"mean_{n}"))]
+    weighed = F.col("distance") * F.col("n")
+    aggregates = [a for n, f in flags.items() for a in (F.coalesce(F.sum(of(f, F.col("n"))), F.lit(0)).alias(f"n_{n}"), F.min(of(f, F.col("distance"))).alias(f"near_{n}"), (F.sum(of(f, weighed)) / F.sum(of(f, F.col("n")))).alias(f"mean_{n}"))]
     first = next(iter(flags.values()))
-    buckets = samples.groupBy(*by, level.alias("level")).agg(*aggregates, F.sum(of(first, F.col("z"))).alias("sum_z"))
+    buckets = samples.groupBy(*by, "level").agg(*aggregates, F.sum(of(first, F.col("sum_z"))).alias("sum_z"))
     order = lambda n: F.when(F.col(f"n_{n}") > 0, F.struct((-F.col(f"n_{n}")).alias("n"), f"near_{n}", f"mean_{n}", (-F.col("level")).alias("l")))
     chosen = [a for n in flags for a in (F.min_by("level", order(n)).alias(n), F.min(f"near_{n}").alias(f"{n}_distance"))]
     return buckets.groupBy(*by).agg(*chosen, (F.sum("sum_z") / F.sum(f"n_{next(iter(flags))}")).alias("mean_z"))

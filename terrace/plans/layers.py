@@ -449,7 +449,8 @@ def estimate(contours: DataFrame, points: DataFrame, step: float = 0.0, interval
     bases = bases.select("project", "step", S.bucket_elevation(F.col("low"), F.col("step")).alias("base"))
 
     level = S.bucket_elevation(F.col("z"), F.col("step"), F.col("base"))
-    votes = survey.bucketed_votes(near.join(bases, "project"), ["project", "id"], level, {"nearest": "in_band", "direct": "in_reach"})
+    samples = near.join(bases, "project").select("project", "id", level.alias("level"), "distance", "in_band", "in_reach", F.lit(1).alias("n"), F.col("z").alias("sum_z"))
+    votes = survey.bucketed_votes(samples, ["project", "id"], {"nearest": "in_band", "direct": "in_reach"})
     out = shapes.drop("ring", "env").join(bases, "project").join(votes.drop("mean_z"), ["project", "id"], "left")
     direct = F.col("direct") if wanted is not None else F.lit(None).cast("double")
     forced = F.lit(None).cast("double")
