@@ -61,12 +61,15 @@ def self_pairs(df: DataFrame, ident: str = "id", key: str = "project") -> DataFr
 
 
 def containment(df: DataFrame, ident: str = "id", key: str = "project") -> DataFrame:
-    """Each box's direct parent: the smallest box of greater area that covers it; of equals the one with the least id."""
+    """Each box's direct parent: the smallest box of greater area that covers it; of equals the one with the least id.
+    Equal boxes have the same parent, and only the one with the least id is one, so pairs are of distinct boxes."""
     area = lambda e: (e["maxx"] - e["minx"]) * (e["maxy"] - e["miny"])
     e, f = F.col("a.env"), F.col("b.env")
-    pairs = pair_boxes(df, df, env_covers(e, f) & (area(e) > area(f)), key)
-    best = pairs.groupBy(F.col("key"), F.col(f"b.{ident}").alias("child")).agg(F.min(F.struct(area(e).alias("area"), F.col(f"a.{ident}").alias("id"))).alias("best"))
-    return best.select(F.col("key").alias(key), "child", F.col("best.id").alias("parent"))
+    kinds = df.groupBy(key, "env").agg(F.min(ident).alias("id"))
+    pairs = pair_boxes(kinds, kinds, env_covers(e, f) & (area(e) > area(f)), key)
+    best = pairs.groupBy(F.col("key").alias(key), F.col("b.env").alias("env")).agg(F.min(F.struct(area(e).alias("area"), F.col("a.id").alias("id"))).alias("best"))
+    rows = df.select(key, F.col(ident).alias("child"), "env").join(best, [key, "env"])
+    return rows.groupBy(key, "child").agg(F.min("best").alias("best")).select(key, "child", F.col("best.id").alias("parent"))
 
 
 def polygon_containment(df: DataFrame, ident: str = "id", key: str = "project") -> DataFrame:

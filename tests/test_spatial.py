@@ -15,3 +15,11 @@ def test_shapes_of_a_large_project_are_dealt(spark):
     points = spark.sql("SELECT 0 AS project, id AS point, id * 10D + 5 AS x, 2D AS y, 0D AS z FROM range(600)")
     found = spatial.near_points(shapes, points)
     assert sorted((r.id, r.point, r.distance) for r in found.collect()) == [(k, k, 1.0) for k in range(600)]
+
+
+def test_equal_boxes_make_no_pairs(spark, monkeypatch):
+    boxes = spark.sql("SELECT 0 AS project, id, named_struct('minx', 0D, 'miny', 0D, 'maxx', 1D + id % 2, 'maxy', 4D) AS env FROM range(50)")
+    met, whole = [], spatial.pair_boxes
+    monkeypatch.setattr(spatial, "pair_boxes", lambda a, *more: met.append(a.count()) or whole(a, *more))
+    found = spatial.containment(boxes).collect()
+    assert met == [2] and sorted((r.child, r.parent) for r in found) == [(k, 1) for k in range(0, 50, 2)]
