@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Edges up to which components are finished in one task.
+FEW = 1_000_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the cluster's checkpoint folder; where none is named, in a folder of the warehouse, which all share."""
@@ -72,10 +77,45 @@ def assign_elevations(nodes: DataFrame, parents: DataFrame, base: int, changes:
     return nodes.select(key, "id").join(state.filter("hit").select(key, "id", (F.col("rise") * interval).alias("elevation")), [key, "id"], "left")
 
 
-def components(edges: DataFrame, key: str = "project") -> DataFrame:
+def least_reached(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the least one that edges lead to: roots hook to lesser ones, pointers are doubled."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        open_ = a != b
+        if not open_.any():
+            return label
+        u, v = u[open_], v[open_]
+        np.minimum.at(label, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
+def _least_of_all(e: DataFrame, key: str) -> DataFrame:
+    """Nodes of few edges with the least one of their component: key, node, to; one task."""
+
+    def run(batches):
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        pdf = pd.concat(got, ignore_index=True)
+        ends = pd.concat([pdf[[key, c]].set_axis([key, "node"], axis=1) for c in "uv"], ignore_index=True).sort_values([key, "node"], kind="stable")
+        number = ends.groupby([key, "node"], dropna=False, sort=False).ngroup().sort_index().to_numpy()
+        nodes = ends.assign(k=number[ends.index]).drop_duplicates("k")  # numbered in order, so the least number is the least id
+        label = least_reached(number[: len(pdf)], number[len(pdf) :], len(nodes))
+        yield nodes[[key, "node"]].assign(to=nodes["node"].to_numpy()[label])
+
+    kind = {f.name: f.dataType.simpleString() for f in e.schema}
+    # a key goes as text, as numbers with nulls among them would go as floats
+    found = e.withColumn(key, F.col(key).cast("string")).coalesce(1).mapInPandas(run, f"`{key}` string, node {kind['u']}, to {kind['u']}")
+    return found.withColumn(key, F.col(key).cast(kind[key]))
+
+
+def components(edges: DataFrame, key: str = "project", few: int = 0) -> DataFrame:
     """Connected components of (key, u, v): (key, id, component), component the least id. Nodes hook to their least
     neighbour and edges contract; after the first round, which is enough for stars, pointers are doubled three times
-    before, so a chain shrinks to an eighth. Edges of a null key are a project of their own."""
+    before, so a chain shrinks to an eighth. Edges of a null key are a project of their own. Once no more than ``few`` edges
+    are left, one task finishes them (ids are numbers or strings then)."""
     e = checkpointed(edges.filter("u <> v").select(key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
     def joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -86,6 +126,9 @@ def components(edges: DataFrame, key: str = "project") -> DataFrame:
     label = checkpointed(e.select(key, F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")))
     first = True
     while not e.isEmpty():
+        if few and e.count() <= few:
+            last = _least_of_all(e, key).withColumnRenamed("node", "component")
+            return joined(label, last, "component", "left").select(key, "id", F.coalesce("to", "component").alias("component"))
         both = e.unionByName(e.select(key, F.col("v").alias("u"), F.col("u").alias("v")))
         hook = checkpointed(both.groupBy(key, F.col("u").alias("node")).agg(F.min("v").alias("m")).select(key, "node", F.least("m", "node").alias("to")))
         for _ in range(0 if first else 3):

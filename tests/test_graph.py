@@ -20,6 +20,17 @@ def test_components_of_chains_and_stars(spark):
     assert sorted((g.project, g.id, g.component) for g in got) == sorted((*x, find(x)[1]) for x in list(comp))
 
 
+def test_few_edges_are_finished_in_one_task(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(p, str(u), str(r.randrange(max(0, u - 3), u))) for p in (None, 1, 2) for u in range(1, 80) if u % 11]
+    frame = spark.createDataFrame(rows, "project int, u string, v string")
+    seen, whole = [], graph.checkpointed
+    want = sorted(graph.components(frame).collect(), key=repr)
+    monkeypatch.setattr(graph, "checkpointed", lambda df: seen.append(1) or whole(df))
+    assert sorted(graph.components(frame, few=1000).collect(), key=repr) == want and len(seen) == 2
+    assert sorted(graph.components(frame, few=100).collect(), key=repr) == want and len(seen) > 4
+
+
 def test_components_of_a_null_project(spark):
     edges = [(None, 1, 2), (None, 3, 2), (None, 9, 8), (0, 2, 7)] + [(None, k, k + 1) for k in range(20, 40)]
     want = sorted([(-1, 1, 1), (-1, 2, 1), (-1, 3, 1), (-1, 8, 8), (-1, 9, 8), (0, 2, 2), (0, 7, 2)] + [(-1, k, 20) for k in range(20, 41)])
