@@ -8,11 +8,14 @@ that meets in several cells is kept in the one with the upper right of both lowe
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.native import env_covers, env_line_distance, env_meets
 
+from .graph import checkpointed
+
 
 def box_level(env: Column) -> Column:
     side = F.greatest(env["maxx"] - env["minx"], env["maxy"] - env["miny"], F.lit(1e-6))
@@ -60,6 +63,39 @@ def self_pairs(df: DataFrame, ident: str = "id", key: str = "project") -> DataFr
     return pairs.select("key", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
+def kind_pairs(df: DataFrame, measures, schema: str, ident: str = "id", key: str = "project", grow: float = 0.0, condition=None) -> DataFrame:
+    """Unordered pairs of one relation's boxes, grown by ``grow``, that meet (key, a, b with a < b), and what ``measures``
+    tells of a pair. Only distinct boxes are paired. Measures must not depend on where a pair lies: they are taken once for
+    each two sizes and the way from one box's corner to the other's, and in both orders: ``measures(w, h, dx, dy, w2, h2)``
+    gives a row of ``schema``. condition: of two boxes (columns), before anything is measured."""
+    e = F.col("env")
+    kinds = df.groupBy(key, "env").agg(F.min(ident).alias("kind"))
+    wide = kinds.withColumn("tight", e).withColumn("env", F.struct(*[(e[n] + g).alias(n) for n, g in (("minx", -grow), ("miny", -grow), ("maxx", grow), ("maxy", grow))]))
+    wide = checkpointed(wide)
+    pairs = self_pairs(wide, "kind", key).unionByName(wide.select(F.col(key).alias("key"), *[F.struct(*wide.columns).alias(s) for s in "ab"]))
+    if condition is not None:
+        pairs = pairs.filter(condition(F.col("a.tight"), F.col("b.tight")))
+    x, y = F.col("a.tight"), F.col("b.tight")
+    side = lambda t, c: t[f"max{c}"] - t[f"min{c}"]
+    way = {"w": side(x, "x"), "h": side(x, "y"), "dx": y["minx"] - x["minx"], "dy": y["miny"] - x["miny"], "w2": side(y, "x"), "h2": side(y, "y")}
+    pairs = checkpointed(pairs.select(F.col("key").alias(key), F.col("a.kind").alias("ka"), F.col("b.kind").alias("kb"), *[c.alias(n) for n, c in way.items()]))
+
+    @F.pandas_udf(f"struct<ab:struct<{schema}>,ba:struct<{schema}>>")
+    def measured(w: pd.Series, h: pd.Series, dx: pd.Series, dy: pd.Series, w2: pd.Series, h2: pd.Series) -> pd.DataFrame:
+        names = [c.split(":")[0] for c in schema.split(",")]
+        rows = [(measures(*r), measures(r[4], r[5], -r[2], -r[3], r[0], r[1])) for r in zip(*(c.tolist() for c in (w, h, dx, dy, w2, h2)), strict=True)]
+        return pd.DataFrame([[dict(zip(names, m, strict=True)) for m in r] for r in rows], columns=["ab", "ba"])
+
+    ways = [*way]
+    # a number of tasks is named, as few rows would be one task, and the kernel takes far longer than reading
+    found = checkpointed(pairs.select(*ways).distinct().repartition(DEALT, *ways).withColumn("m", measured(*ways)).select(*ways, "m.ab", "m.ba"))
+    pairs = pairs.join(found, ways).drop(*ways)
+    rows = df.select(F.col(key), F.col(ident).alias("id"), "env").join(kinds, [key, "env"]).select(key, "id", "kind")
+    of = lambda s: rows.select(key, F.col("id").alias(s), F.col("kind").alias(f"k{s}"))
+    every = pairs.join(of("a"), [key, "ka"]).join(of("b"), [key, "kb"]).filter("ka <> kb OR a < b")
+    return every.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ab")).otherwise(F.col("ba")).alias("m")).select(key, "a", "b", "m.*")
+
+
 def containment(df: DataFrame, ident: str = "id", key: str = "project") -> DataFrame:
     """Each box's direct parent: the smallest box of greater area that covers it; of equals the one with the least id.
     Equal boxes have the same parent, and only the one with the least id is one, so pairs are of distinct boxes."""

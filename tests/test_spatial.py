@@ -23,3 +23,14 @@ def test_equal_boxes_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "pair_boxes", lambda a, *more: met.append(a.count()) or whole(a, *more))
     found = spatial.containment(boxes).collect()
     assert met == [2] and sorted((r.child, r.parent) for r in found) == [(k, 1) for k in range(0, 50, 2)]
+
+
+def test_pairs_of_boxes_are_measured_once_for_a_way(spark, monkeypatch):
+    boxes = spark.sql("SELECT 0 AS project, id, named_struct('minx', id % 3 * 3D, 'miny', 0D, 'maxx', id % 3 * 3D + 4 + id % 2, 'maxy', 4D) AS env FROM range(60)")
+    seen, whole = [], spatial.checkpointed
+    monkeypatch.setattr(spatial, "checkpointed", lambda df: seen.append(whole(df)) or seen[-1])
+    rows = spatial.kind_pairs(boxes, lambda w, h, dx, dy, w2, h2: (w, dx), "w:double,dx:double").collect()
+    box = {k: (k % 3 * 3.0, k % 3 * 3.0 + 4 + k % 2) for k in range(60)}
+    want = {(a, b): (box[a][1] - box[a][0], box[b][0] - box[a][0]) for a in box for b in box if a < b and box[a][0] <= box[b][1] and box[b][0] <= box[a][1]}
+    assert {(r.a, r.b): (r.w, r.dx) for r in rows} == want and len(rows) == len(want)
+    assert seen[0].count() == 6 and seen[-1].count() < 20
