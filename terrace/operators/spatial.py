@@ -110,13 +110,31 @@ def containment(df: DataFrame, ident: str = "id", key: str = "project") -> DataF
 
 def polygon_containment(df: DataFrame, ident: str = "id", key: str = "project") -> DataFrame:
     """Each shape's direct parent: the smallest shape of greater area that covers it, shared edges allowed; of equals the
-    one with the least id. df: key, ident, env, geom. Boxes make the pairs, the kernel decides on those only."""
-    from terrace.functions.shapes import g_covers
+    one with the least id. df: key, ident, env, geom. Distinct shapes are paired by their boxes; the kernel takes a shape's
+    pairs from the smallest other one on, up to the first that covers it."""
+    from terrace.functions import polygon as P
+    from terrace.functions.shapes import from_row
 
+    kinds = checkpointed(df.groupBy(key, "env", "geom").agg(F.min(ident).alias("id")).withColumn("who", F.sha2(F.to_json(F.struct(key, "env", "geom")), 256)))
     x, y = F.col("a.geom"), F.col("b.geom")
-    pairs = pair_boxes(df, df, env_covers(F.col("a.env"), F.col("b.env")) & (x["area"] > y["area"]), key)
-    best = pairs.filter(g_covers(x, y)).groupBy(F.col("key"), F.col(f"b.{ident}").alias("child")).agg(F.min(F.struct(x["area"].alias("area"), F.col(f"a.{ident}").alias("id"))).alias("best"))
-    return best.select(F.col("key").alias(key), "child", F.col("best.id").alias("parent"))
+    pairs = pair_boxes(kinds, kinds, env_covers(F.col("a.env"), F.col("b.env")) & (x["area"] > y["area"]), key)
+    offers = pairs.select(F.col("b.who").alias("who"), x["area"].alias("area"), F.col("a.id").alias("id"), F.struct(x["polys"].alias("polys")).alias("x"), F.struct(y["polys"].alias("polys")).alias("y"))
+
+    def first(batches):
+        done = None
+        for b in batches:
+            rows = []
+            for who, area, i, over, own in zip(b["who"], b["area"], b["id"], b["x"], b["y"], strict=True):
+                if who != done and P.covers(from_row(over), from_row(own)):
+                    done = who
+                    rows.append((who, area, i))
+            yield pd.DataFrame(rows, columns=["who", "area", "parent"])
+
+    # a number of tasks is named, as few rows would be one task; batches follow each other in order
+    offers = offers.repartition(DEALT, "who").sortWithinPartitions("who", "area", "id")
+    best = kinds.join(offers.mapInPandas(first, f"who string, area double, parent {kinds.schema['id'].dataType.simpleString()}"), "who").select(key, "env", "geom", F.struct("area", F.col("parent").alias("id")).alias("best"))
+    rows = df.select(key, F.col(ident).alias("child"), "env", "geom").join(best, [key, "env", "geom"])
+    return rows.groupBy(key, "child").agg(F.min("best").alias("best")).select(key, "child", F.col("best.id").alias("parent"))
 
 
 def polygon_adjacency(df: DataFrame, tolerance: float = 1e-6, ident: str = "id", key: str = "project") -> DataFrame:

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from terrace.functions.native import box_ring, ring_geom
 from terrace.operators import spatial
 
 
@@ -34,3 +37,12 @@ def test_pairs_of_boxes_are_measured_once_for_a_way(spark, monkeypatch):
     want = {(a, b): (box[a][1] - box[a][0], box[b][0] - box[a][0]) for a in box for b in box if a < b and box[a][0] <= box[b][1] and box[b][0] <= box[a][1]}
     assert {(r.a, r.b): (r.w, r.dx) for r in rows} == want and len(rows) == len(want)
     assert seen[0].count() == 6 and seen[-1].count() < 20
+
+
+def test_equal_shapes_make_no_pairs(spark, monkeypatch):
+    sides = spark.sql("SELECT 0 AS project, id, 1D + id % 3 AS s FROM range(60)")
+    shapes = sides.select("project", "id", ring_geom(box_ring(F.lit(0), F.lit(0), F.col("s"), F.lit(4))).alias("geom")).withColumn("env", F.col("geom.env"))
+    met, whole = [], spatial.pair_boxes
+    monkeypatch.setattr(spatial, "pair_boxes", lambda a, *more: met.append(a.count()) or whole(a, *more))
+    found = spatial.polygon_containment(shapes).collect()
+    assert met == [3] and sorted((r.child, r.parent) for r in found) == [(k, k % 3 + 1) for k in range(60) if k % 3 < 2]
