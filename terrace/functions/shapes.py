@@ -32,6 +32,11 @@ def from_row(g) -> P.Geometry:
     return out
 
 
+def plain(row) -> dict:
+    """A struct of an array (dict or Row) as a dict."""
+    return row if isinstance(row, dict) else row.asDict()
+
+
 def lines_of(g) -> list[np.ndarray]:
     return [np.array([(q["x"], q["y"]) for q in r], float) for r in g["lines"]] if g is not None and g["lines"] is not None else []
 

@@ -11,6 +11,7 @@ from terrace.functions import polygon as P
 from terrace.functions.native import box_ring, env_of_box, ring_geom
 from terrace.functions.shapes import g_distance
 from terrace.operators import spatial
+from terrace.operators.graph import checkpointed
 
 from . import adapters as A
 from . import export as X
@@ -38,6 +39,7 @@ _LAYOUT = """SELECT CAST(p_partkey // 12 AS VARCHAR) AS project, count(*) AS pie
 def layout_facts(placed: DataFrame, bed=BED, margin: float = MARGIN) -> DataFrame:
     """Per project: pieces, area, pieces outside of the margins, pairs of a sheet nearer than the margin, pieces of cut ones,
     and whether the sheets can hold the area."""
+    placed = checkpointed(placed)  # the layouts are used twice
     e = F.col("geom.env")
     out = (e["minx"] < margin - 1e-6) | (e["miny"] < margin - 1e-6) | (e["maxx"] > bed[0] - margin + 1e-6) | (e["maxy"] > bed[1] - margin + 1e-6)
     facts = placed.groupBy("project").agg(
@@ -46,7 +48,10 @@ def layout_facts(placed: DataFrame, bed=BED, margin: float = MARGIN) -> DataFram
     )
     half = margin / 2
     grown = placed.select(F.concat_ws("/", "project", F.col("sheet").cast("string")).alias("project"), F.col("project").alias("of"), "id", "geom", F.struct((e["minx"] - half).alias("minx"), (e["miny"] - half).alias("miny"), (e["maxx"] + half).alias("maxx"), (e["maxy"] + half).alias("maxy")).alias("env"))
-    near = spatial.self_pairs(grown).withColumn("gap", g_distance("a.geom", "b.geom")).filter(F.col("gap") < margin - 1e-6)
+    # shapes are no nearer than their boxes, so the kernel measures only where these are too near
+    x, y = F.col("a.geom.env"), F.col("b.geom.env")
+    gap = [F.greatest(x[f"min{c}"] - y[f"max{c}"], y[f"min{c}"] - x[f"max{c}"], F.lit(0.0)) for c in "xy"]
+    near = spatial.self_pairs(grown).filter(F.hypot(*gap) < margin - 1e-6).repartition(spatial.DEALT).withColumn("gap", g_distance("a.geom", "b.geom")).filter(F.col("gap") < margin - 1e-6)
     bad = near.groupBy(F.col("a.of").alias("project")).agg(F.count("*").alias("bad"))
     return facts.join(bad, "project", "left").select("project", "pieces", "area", "outside", F.coalesce("bad", F.lit(0)).alias("too_near"), "cut", "enough")
 

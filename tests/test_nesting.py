@@ -1,10 +1,13 @@
 import itertools
+from uuid import uuid4
 
+import pandas as pd
 import pytest
 
 from terrace.functions import polygon as P
 from terrace.functions.native import GEOM
 from terrace.functions.shapes import to_row
+from terrace.operators import kinds
 from terrace.plans import nesting as N
 
 
@@ -101,3 +104,15 @@ def test_spots_are_free_of_full_boxes():
     spots = N.positions(5, 5, sheet, (40, 30), 2, 24, 80)
     assert len(spots) and not ((spots[:, 0] > -5) & (spots[:, 0] < 14 - 1e-6) & (spots[:, 1] > -5) & (spots[:, 1] < 14 - 1e-6)).any()
     assert [14.0, 2.0] in spots.tolist() and [2.0, 14.0] in spots.tolist() and spots[:, 1].tolist() == sorted(spots[:, 1])
+
+
+def test_projects_of_the_same_pieces_are_laid_out_once(spark):
+    groups = spark.sql("SELECT id AS project, array(id % 3, NULL) AS own FROM range(30)")
+    rows = kinds.by_kind(groups, ["project"], lambda r: pd.DataFrame({"text": [f"{list(r['own'])} {uuid4()}"]}), "text string").collect()
+    assert len(rows) == 30 and len({r.text for r in rows}) == 3 and len({(r.project % 3, r.text) for r in rows}) == 3
+
+
+def test_ids_come_back_to_pieces_of_equal_projects(spark):
+    rows = [(p, f"{p}{k}", to_row(P.box(0, 0, 10 + 60 * k, 8))) for p in ("a", "b") for k in range(2)]
+    got = N.nest_projects(spark.createDataFrame(rows, f"project string, id string, geom {GEOM}"), (60, 40), 2).collect()
+    assert sorted((r.project, r.source, r.id) for r in got) == sorted((p, f"{p}{k}", f"{p}{k}{end}") for p in "ab" for k, end in ((0, ""), (1, "_0"), (1, "_1")))
