@@ -73,7 +73,7 @@ def required_splits(spark, d):
     """Strips too long for the sheet are cut in halves until all parts fit."""
     k = F.col("s_suppkey")
     strips = A.read(spark, d, "supplier").select(k.cast("string").alias("project"), F.lit("s").alias("id"), box_geom(F.lit(0.0), F.lit(0.0), 150 + k % 80, F.lit(30.0)).alias("geom"))
-    placed = N.nest_projects(strips, (100.0, 60.0), MARGIN)
+    placed = checkpointed(N.nest_projects(strips, (100.0, 60.0), MARGIN))
     facts = layout_facts(placed, (100.0, 60.0)).select("project", F.col("pieces").alias("parts"), "area", "outside")
     return facts.join(placed.groupBy("project").agg(F.max("split").alias("split")), "project")
 
