@@ -177,8 +177,8 @@ def exported_drawings(spark, d):
 @query("exported_issues", "SELECT '-' AS file, '-' AS type WHERE false")
 def exported_issues(spark, d):
     """Exported drawings have no issues."""
-    sheets = exported(spark, d)
-    return X.verify(X.reread(sheets), X.defined_layers(sheets)).select("file", "type")
+    sheets = checkpointed(exported(spark, d))
+    return X.verify(checkpointed(X.reread(sheets)), X.defined_layers(sheets)).select("file", "type")
 
 
 @query("spoilt_drawings", "SELECT CAST(s_suppkey AS VARCHAR) AS file, 'invalid_dxf' AS type FROM supplier")

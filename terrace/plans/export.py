@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from terrace.functions import polygon as P
 from terrace.functions.native import env_covers, ring_area, ring_env
 from terrace.functions.scalars import UNIT_FACTORS, UNIT_NAMES, piece_label
-from terrace.functions.shapes import from_row, g_intersection, g_validity, lines_of
+from terrace.functions.shapes import from_row, g_intersection, g_validity, lines_of, plain
 from terrace.operators import spatial
+from terrace.operators.kinds import by_kind
 from terrace.sources import dxf
 
 #: Fixed values of the export rules.
@@ -184,7 +185,7 @@ def segment_rows(head: tuple, roles: dict[str, list[np.ndarray]]) -> pd.DataFram
         (*head, role, k, s, *map(float, (a[0], a[1], b[0], b[1])))
         for role, lines in roles.items() for k, line in enumerate(lines) for s, (a, b) in enumerate(zip(line[:-1], line[1:], strict=True))
     ]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")][2 - len(head) :])
 
 
 def without_lines(line: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
@@ -216,16 +217,20 @@ SEGMENTS = "project string, sheet int, role string, line int, segment int, x0 do
 
 
 def linework(placed: DataFrame, bed: tuple[float, float], margin: float = 0.0, **how) -> DataFrame:
-    """Segments of every sheet of ``nest_projects``' rows (elevation columns, if there, label the pieces)."""
+    """Segments of every sheet of ``nest_projects``' rows (elevation columns, if there, label the pieces). Sheets of the same
+    pieces are drawn once."""
+    names = [c for c in ("seq", "geom", "engraving", "labels", "elevation", "source_elevation") if c in placed.columns]
+    own = placed.groupBy("project", "sheet").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("own"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(sheet: dict) -> pd.DataFrame:
         own = [
             {"geom": from_row(r["geom"]), "engraving": lines_of(r["engraving"]), "labels": from_row(r["labels"]), "elevation": r.get("elevation"), "source_elevation": r.get("source_elevation")}
-            for r in pdf.sort_values("seq").to_dict("records")
+            for r in map(plain, sheet["own"])
         ]
-        return segment_rows((pdf["project"].iloc[0], pdf["sheet"].iloc[0]), sheet_linework(own, bed, margin, **how))
+        return segment_rows((), sheet_linework(own, bed, margin, **how))
 
-    return placed.groupBy("project", "sheet").applyInPandas(run, SEGMENTS)
+    drawn = by_kind(own, ["project", "sheet"], run, SEGMENTS.removeprefix("project string, sheet int, "))
+    return drawn.select(F.col("project").cast("string"), F.col("sheet").cast("int"), *[c.split()[0] for c in SEGMENTS.split(", ")[2:]])
 
 
 def unit_of(name) -> str:
@@ -345,8 +350,8 @@ def overlapping(segs: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     from terrace.plans.catalog import segment_pairs
 
     one = segs.withColumn("id", F.struct("file", F.col("id").alias("n")))
-    pairs = segment_pairs(one, tolerance)
-    return pairs.filter(F.col("a.file") == F.col("b.file")).select("a.file", F.col("a.n").alias("a"), F.col("b.n").alias("b"), "kind")
+    pairs = segment_pairs(one, tolerance, ("file",))
+    return pairs.select("a.file", F.col("a.n").alias("a"), F.col("b.n").alias("b"), "kind")
 
 
 def defined_layers(sheets: DataFrame, text: str = "dxf") -> DataFrame:

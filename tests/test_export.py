@@ -88,3 +88,11 @@ def test_archives_and_issue_reports(tmp_path):
         assert all(i.compress_type == zipfile.ZIP_DEFLATED for i in z.infolist())
     assert json.loads(X.report_json([])) == {"ok": True, "issue_count": 0, "issues": []}
     assert json.loads(X.report_json([{"type": "x", "message": "ç"}]))["issue_count"] == 1
+
+
+def test_segments_of_other_drawings_are_not_paired(spark):
+    segs = spark.sql("SELECT CAST(f AS STRING) AS file, k AS id, 'CORTE' AS layer, 0D AS x0, 0D AS y0, 5D AS x1, 0D AS y1 FROM (SELECT explode(sequence(1, 200)) AS f), (SELECT explode(array(1, 2)) AS k)")
+    found = X.overlapping(segs)
+    assert found.count() == 200
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "file#" in next(line for line in plan.splitlines() if "Join Inner" in line)
