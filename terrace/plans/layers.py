@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from terrace.functions import polygon as P
 from terrace.functions import scalars as S
 from terrace.functions.native import GEOM, ring_line_distance
-from terrace.functions.shapes import from_row, lines_of, to_row
+from terrace.functions.shapes import from_row, lines_of, plain, to_row
 from terrace.operators import spatial, survey
+from terrace.operators.kinds import by_kind
 
 #: Fixed values of the layer rules.
 AREA_TOLERANCE = 0.1
@@ -475,10 +476,9 @@ def terrain_layers(contours: DataFrame, points: DataFrame, boundaries: DataFrame
     if "ord" in contours.columns:
         known = known.join(contours.select("project", "id", "ord"), ["project", "id"])
 
-    def build(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return layer_rows("", [])
-        boundary = from_row(right.iloc[0]["outline"])
+    def build(site: dict) -> pd.DataFrame:
+        left = pd.DataFrame(map(plain, site["own"]))
+        boundary = from_row(plain(site["outline"]))
         left = left.sort_values("ord", kind="stable") if "ord" in left else left.iloc[sorted(range(len(left)), key=lambda i: sort_key(left.iloc[i]["id"]))]
         own = [
             Contour(r.id, r.layer, from_row(r.geom), float(r.elevation), float(r.estimated), r.source, None if pd.isna(r.distance) else float(r.distance))
@@ -493,10 +493,15 @@ def terrain_layers(contours: DataFrame, points: DataFrame, boundaries: DataFrame
         if slicing == "solid":
             out = make_solid(out, tolerance)
         engrave(out, slicing, offset, tolerance)
-        return layer_rows(left.iloc[0]["project"], out)
-
-    outlines = boundaries.select(F.col("project").alias("place"), F.col("geom").alias("outline"))
-    return known.groupBy("project").cogroup(outlines.groupBy("place")).applyInPandas(build, LAYER)
+        return layer_rows("", out).drop(columns="project")
+
+    # projects of the same contours, elevations and outline are stacked once
+    names = [c for c in ("ord", "id", "layer", "geom", "elevation", "estimated", "source", "distance", "base", "step") if c in known.columns]
+    own = known.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("own"))
+    outlines = boundaries.groupBy(F.col("project").alias("place")).agg(F.first("geom").alias("outline"))
+    sites = own.join(outlines, F.col("project").eqNullSafe(F.col("place"))).drop("place")
+    made = by_kind(sites, ["project"], build, LAYER.removeprefix("project string, "))
+    return made.withColumn("project", F.col("project").cast("string"))
 
 
 def triangulated_layers(points: DataFrame, boundaries: DataFrame, step: float, tolerance: float = AREA_TOLERANCE) -> DataFrame:

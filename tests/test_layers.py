@@ -95,3 +95,12 @@ def test_rings_and_triangles():
     out = L.tin_layers(pts, P.box(0, 0, 8, 8), 0.75)
     assert [x.source_elevation for x in out] == [0, 0.75, 1.5, 2.25, 3][: len(out)]
     assert P.area(out[2].geom) == pytest.approx(16)
+
+
+def test_projects_of_the_same_contours_are_stacked_once(spark, monkeypatch):
+    from terrace.plans import catalog_shapes
+
+    seen, whole = [], L.by_kind
+    monkeypatch.setattr(L, "by_kind", lambda groups, *more: seen.append(groups) or whole(groups, *more))
+    assert catalog_shapes.merged_duplicates(spark, "/root/testdata/sf0.001").count() == 10
+    assert seen[0].count() == 10 and seen[0].select("own", "outline").distinct().count() == 1
