@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import json
 import zipfile
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,8 @@ from terrace.functions.native import env_covers, ring_area, ring_env
 from terrace.functions.scalars import UNIT_FACTORS, UNIT_NAMES, piece_label
 from terrace.functions.shapes import from_row, g_intersection, g_validity, lines_of, plain
 from terrace.operators import spatial
-from terrace.operators.kinds import by_kind
+from terrace.operators.graph import FEW, checkpointed, components
+from terrace.operators.kinds import DEALT, by_kind
 from terrace.sources import dxf
 
 #: Fixed values of the export rules.
@@ -174,7 +176,7 @@ def no_line_twice(roles: dict[str, list[np.ndarray]]) -> dict[str, list[np.ndarr
     for role in PRIORITY:
         lines = P.merged_lines(roles.get(role, []))
         if taken:
-            lines = [part for line in lines for part in without_lines(line, taken)]
+            lines = without_lines(lines, taken)
         out[role] = [x for x in P.merged_lines(lines) if P.line_length(x) >= SHORTEST]
         taken += out[role]
     return out
@@ -188,29 +190,54 @@ def segment_rows(head: tuple, roles: dict[str, list[np.ndarray]]) -> pd.DataFram
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")][2 - len(head) :])
 
 
-def without_lines(line: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
-    """The parts of a line that don't lie on other lines."""
-    p = np.concatenate([x[:-1] for x in others])
-    q = np.concatenate([x[1:] for x in others])
-    out: list[list] = []
-    for a, b in zip(line[:-1], line[1:], strict=True):
-        d = b - a
-        n = float(np.hypot(*d))
-        if n <= 1e-9:
-            continue
-        u = d / n
-        on = (np.abs(u[0] * (p - a)[:, 1] - u[1] * (p - a)[:, 0]) <= 1e-6) & (np.abs(u[0] * (q - a)[:, 1] - u[1] * (q - a)[:, 0]) <= 1e-6)
-        t0, t1 = (p[on] - a) @ u, (q[on] - a) @ u
-        at = 0.0
-        for s, e in sorted(zip(np.minimum(t0, t1), np.maximum(t0, t1), strict=True)) + [(n, n)]:
-            if s > at + 1e-6 and at < n:
-                u0, u1 = a + at * u, a + min(s, n) * u
-                if out and np.allclose(out[-1][-1], u0, atol=1e-9):
-                    out[-1].append(u1)
+def without_lines(lines: list[np.ndarray], others: list[np.ndarray]) -> list[np.ndarray]:
+    """The parts of lines that don't lie on other lines."""
+    if not lines or not others:
+        return lines
+    a, b = (np.concatenate([x[k] for x in lines]) for k in (slice(None, -1), slice(1, None)))
+    p, q = (np.concatenate([x[k] for x in others]) for k in (slice(None, -1), slice(1, None)))
+    d = b - a
+    n = np.hypot(*d.T)
+    u = d / np.maximum(n, 1e-300)[:, None]
+    # only a segment that is by another one, and in its direction, can lie on it
+    found = []
+    for i, j in P.near_boxes(np.minimum(a, b) - 1e-5, np.maximum(a, b) + 1e-5, np.minimum(p, q), np.maximum(p, q)):
+        off = [np.abs(u[i, 0] * (x[j] - a[i])[:, 1] - u[i, 1] * (x[j] - a[i])[:, 0]) for x in (p, q)]
+        on = (off[0] <= 1e-6) & (off[1] <= 1e-6)
+        found.append((i[on], j[on]))
+    i, j = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    order = np.lexsort((j, i))
+    j, starts = j[order], np.searchsorted(i[order], np.arange(len(a) + 1)).tolist()
+    far = a + n[:, None] * u
+    out: list[np.ndarray] = []
+    own = iter(range(len(a)))
+    for line in lines:
+        parts: list[list] = []
+        for k in islice(own, len(line) - 1):
+            if n[k] <= 1e-9:
+                continue
+            by = j[starts[k] : starts[k + 1]]
+            open_ = _open_stretches(a[k], u[k], float(n[k]), p[by], q[by]) if len(by) else [(a[k], far[k])]
+            for u0, u1 in open_:
+                # as a distance, not as a share of the coordinates: far out that would bridge what is covered
+                if parts and abs(parts[-1][-1][0] - u0[0]) <= 1e-9 and abs(parts[-1][-1][1] - u0[1]) <= 1e-9:
+                    parts[-1].append(u1)
                 else:
-                    out.append([u0, u1])
-            at = max(at, e)
-    return [np.array(x) for x in out]
+                    parts.append([u0, u1])
+        out += [np.array(x) for x in parts]
+    return out
+
+
+def _open_stretches(a: np.ndarray, u: np.ndarray, n: float, p: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of the segment from a, n long in direction u, that no segment p-q of the same direction covers."""
+    out = []
+    t0, t1 = (p - a) @ u, (q - a) @ u
+    at = 0.0
+    for s, e in sorted(zip(np.minimum(t0, t1), np.maximum(t0, t1), strict=True)) + [(n, n)]:
+        if s > at + 1e-6 and at < n:
+            out.append((a + at * u, a + min(s, n) * u))
+        at = max(at, e)
+    return out
 
 
 SEGMENTS = "project string, sheet int, role string, line int, segment int, x0 double, y0 double, x1 double, y1 double"
@@ -289,21 +316,54 @@ def to_svg(segments: DataFrame, bed: tuple[float, float], layer_config: dict | N
     return _by_sheet(scaled_segments(segments, units), "svg", render)
 
 
+#: Sheets of a combined drawing whose lines are compared in one task, unless more of them touch.
+SHEETS_A_DEAL = 256
+
+
+def sheet_deals(placed: DataFrame) -> DataFrame:
+    """Deals of a project's sheets (project, k from 0, box env): project, k, deal. Sheets that touch, over others too, are of
+    one deal; else a deal is of neighbours in order."""
+    wide = placed.select("project", "k", F.struct(*[(F.col("env")[n] + g).alias(n) for n, g in (("minx", -SHORTEST), ("miny", -SHORTEST), ("maxx", SHORTEST), ("maxy", SHORTEST))]).alias("env"))
+    met = spatial.self_pairs(wide, "k").select(F.col("key").alias("project"), F.col("a.k").alias("u"), F.col("b.k").alias("v"))
+    first = components(met, few=FEW).select("project", F.col("id").alias("k"), "component")
+    return placed.select("project", "k").join(first, ["project", "k"], "left").select("project", "k", F.floor(F.coalesce("component", "k") / SHEETS_A_DEAL).cast("int").alias("deal"))
+
+
 def combined_dxf(segments: DataFrame, bed: tuple[float, float], gap: float = 20.0, layer_config: dict | None = None, units: str = "auto") -> DataFrame:
-    """All sheets of a project in one drawing, on a grid: project, sheet (0), dxf. No segment is drawn twice."""
-    sheets = segments.select("project", "sheet").distinct()
+    """All sheets of a project in one drawing, on a grid: project, sheet (0), dxf. No segment is drawn twice. Lines of sheets
+    that don't touch have nothing in common, so they are compared and written in deals, which are put together at the end."""
+    segments = checkpointed(segments.filter("project is not null and sheet is not null"))  # used three times
+    x, y = (F.array(F.col(f"{c}0"), F.col(f"{c}1")) for c in "xy")
+    own = F.struct(F.min(F.array_min(x)).alias("minx"), F.min(F.array_min(y)).alias("miny"), F.max(F.array_max(x)).alias("maxx"), F.max(F.array_max(y)).alias("maxy"))
+    sheets = segments.groupBy("project", "sheet").agg(own.alias("own"))
     w = Window.partitionBy("project")
     k, n = F.row_number().over(w.orderBy("sheet")) - 1, F.count("*").over(w)
     cols = F.greatest(F.lit(1), F.ceil(F.sqrt(n * bed[1] / bed[0])))
-    spots = sheets.withColumns({"k": k, "cols": cols}).select("project", "sheet", (F.col("k") % F.col("cols") * (bed[0] + gap)).alias("dx"), (F.floor(F.col("k") / F.col("cols")) * (bed[1] + gap)).alias("dy"))
-    all_ = segments.join(spots, ["project", "sheet"])
-    all_ = all_.withColumns({"x0": F.col("x0") + F.col("dx"), "x1": F.col("x1") + F.col("dx"), "y0": F.col("y0") + F.col("dy"), "y1": F.col("y1") + F.col("dy"), "sheet": F.lit(0)}).drop("dx", "dy")
+    spots = sheets.withColumns({"k": k, "cols": cols}).withColumns({"dx": F.col("k") % F.col("cols") * (bed[0] + gap), "dy": F.floor(F.col("k") / F.col("cols")) * (bed[1] + gap)})
+    moved = F.struct(*[(F.col("own")[c] + F.col(f"d{c[-1]}")).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+    spots = checkpointed(spots.select("project", "sheet", "k", "dx", "dy", moved.alias("env")))
+    deals = spots.drop("env").join(sheet_deals(spots.select("project", "k", "env")), ["project", "k"]).drop("k")
+    all_ = segments.join(deals, ["project", "sheet"])
+    all_ = all_.withColumns({"x0": F.col("x0") + F.col("dx"), "x1": F.col("x1") + F.col("dx"), "y0": F.col("y0") + F.col("dy"), "y1": F.col("y1") + F.col("dy")}).drop("dx", "dy")
+    cfg, unit = config_with(layer_config), unit_of(units)
+    scale = UNIT_FACTORS[unit]
 
     def once(pdf: pd.DataFrame) -> pd.DataFrame:
-        roles = {role: [np.array([(r.x0, r.y0), (r.x1, r.y1)]) for r in own.itertuples()] for role, own in pdf.groupby("role")}
-        return segment_rows((pdf["project"].iloc[0], 0), no_line_twice(roles))
-
-    return to_dxf(all_.groupBy("project").applyInPandas(once, SEGMENTS), layer_config, units)
+        pdf = pdf.sort_values(["sheet", "role", "line", "segment"])
+        ends = lambda own: own[["x0", "y0", "x1", "y1"]].to_numpy().reshape(-1, 2, 2)
+        drawn = no_line_twice({role: [*ends(own)] for role, own in pdf.groupby("role")})
+        rows = [
+            (pdf["project"].iloc[0], int(pdf["deal"].iloc[0]), role, dxf.line_entities((cfg[role]["name"], a, b) for x in lines for a, b in zip(x[:-1] * scale, x[1:] * scale, strict=True)))
+            for role, lines in drawn.items() if lines
+        ]
+        return pd.DataFrame(rows, columns=["project", "deal", "role", "body"])
+
+    # a number of tasks is named, as small tables would be taken together in one
+    dealt = all_.repartition(DEALT, "project", "deal").groupBy("project", "deal").applyInPandas(once, "project string, deal int, role string, body string")
+    bodies = dealt.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("role", "deal", "body"))).alias("bodies"))
+    head = dxf.head({cfg[r]["name"]: cfg[r]["dxf_color"] for r in DRAW_ORDER}, unit)
+    text = F.concat(F.lit(head), F.concat_ws("", F.transform("bodies", lambda x: x["body"])), F.lit(dxf.TAIL))
+    return bodies.select("project", F.lit(0).alias("sheet"), text.alias("dxf"))
 
 
 def drawing_segments(drawings: DataFrame) -> DataFrame:
@@ -364,13 +424,23 @@ def defined_layers(sheets: DataFrame, text: str = "dxf") -> DataFrame:
     return sheets.select("file", F.explode(names(text)).alias("layer"))
 
 
+ENTITIES_A_BATCH = 10_000
+
+
 def reread(sheets: DataFrame, text: str = "dxf") -> DataFrame:
     """Entities of drawings held in a column (file, dxf)."""
 
     def run(batches):
         columns = [c.split()[0] for c in dxf.SCHEMA.replace("struct<x:double,y:double,z:double>", "s").split(", ")]
         for b in batches:
-            yield pd.DataFrame([r for f, t in zip(b["file"], b[text], strict=True) for r in dxf.parse(f, t.encode())], columns=columns)
+            rows: list[tuple] = []
+            for f, t in zip(b["file"], b[text], strict=True):
+                for r in dxf.parsed(f, t.encode()):
+                    rows.append(r)
+                    if len(rows) >= ENTITIES_A_BATCH:  # a drawing may be large, a batch is not
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return sheets.select("file", text).mapInPandas(run, dxf.SCHEMA)
 

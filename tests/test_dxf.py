@@ -61,3 +61,13 @@ def test_drawings_written_and_read_by_spark(spark, tmp_path):
     assert polygons.count() == 5 and points.count() == 13
     assert entities.filter("kind = 'LINE'").count() == 1 and entities.filter("error is not null").count() == 1
     entities.unpersist()
+
+
+def test_sections_are_read_as_a_stream():
+    text = dxf.drawing({"a": 1}, [("a", (0, 0), (1, 1))] * 3)
+    assert not isinstance(dxf.tags(text), list)
+    assert len(dxf.entities(text + text)) == 3 and len(dxf.entities(text.replace("\n", "\r\n"))) == 3  # the last section of a name counts
+    assert dxf.layer_names(text) == ["a"]
+    (bad,) = dxf.parse("f", (text + "x\n1\n").encode())
+    assert bad[-1]
+    assert dxf.parse("f", b"0\nSECTION\n")[0][-1]

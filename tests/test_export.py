@@ -96,3 +96,59 @@ def test_segments_of_other_drawings_are_not_paired(spark):
     assert found.count() == 200
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "file#" in next(line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def squares(spark, n: int):
+    """Segments of sheets with a frame all round and a cut square, one project."""
+    from terrace.plans.export import SEGMENTS
+
+    rows = []
+    for k in range(n):
+        for role, (x0, y0, x1, y1) in (("bed", (0, 0, 100, 100)), ("cut", (10, 10, 30 + k % 7, 40))):
+            ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+            rows += [("p", k, role, 0, s, *map(float, (*a, *b))) for s, (a, b) in enumerate(zip(ring[:-1], ring[1:], strict=True))]
+    return spark.createDataFrame(rows, SEGMENTS)
+
+
+def drawn(text: str) -> list[tuple]:
+    return sorted((e["layer"], *sorted(e["points"])) for e in dxf.entities(text))
+
+
+def test_sheets_of_a_combined_drawing_are_dealt_unless_they_touch(spark, monkeypatch):
+    monkeypatch.setattr(X, "SHEETS_A_DEAL", 4)
+    segments = squares(spark, 23)
+    boxes = lambda step: spark.createDataFrame([("p", k, ((k * step) % 900 * 1.0, 0.0, (k * step) % 900 + 100.0, 100.0)) for k in range(23)], "project string, k int, env struct<minx:double,miny:double,maxx:double,maxy:double>")
+    assert {r.k: r.deal for r in X.sheet_deals(boxes(100)).collect()} == dict.fromkeys(range(23), 0)
+    apart = boxes(100).withColumn("env", F.struct(*[(F.col("env")[c] + (F.col("k") * 1000 if c[-1] == "x" else 0)).alias(c) for c in ("minx", "miny", "maxx", "maxy")]))
+    assert {r.k: r.deal for r in X.sheet_deals(apart).collect()} == {k: k // 4 for k in range(23)}
+    many = {gap: X.combined_dxf(segments, BED, gap).first().dxf for gap in (0.0, 5.0)}
+    monkeypatch.setattr(X, "SHEETS_A_DEAL", 1000)
+    for gap, text in many.items():
+        assert drawn(text) == drawn(X.combined_dxf(segments, BED, gap).first().dxf)
+        lines = [(np.array(p), np.array(q)) for layer, p, q in drawn(text) if layer == "Placa"]
+        assert sum(np.hypot(*(q - p)[:2]) for p, q in lines) == pytest.approx(23 * 400 if gap else 56 * 100)  # common edges once
+        assert sum(layer == "CORTE" for layer, *_ in drawn(text)) == 23 * 4
+
+
+def test_a_covered_stretch_far_from_the_origin_is_not_bridged():
+    """A tolerance that grows with the coordinates took 0.05 for nothing at 20,000."""
+    out = X.no_line_twice({"cut": [np.array([(20040, 0), (20040.05, 0)])], "bed": [np.array([(20000, 0), (20100, 0.0)])]})
+    assert total(out["cut"]) == pytest.approx(0.05) and total(out["bed"]) == pytest.approx(99.95)
+
+
+def test_lines_of_many_sheets_are_compared_with_near_ones_only(monkeypatch):
+    seen = []
+    every = P.near_boxes
+
+    def counted(*boxes):
+        for i, j in every(*boxes):
+            seen.append(len(i))
+            yield i, j
+
+    monkeypatch.setattr(P, "near_boxes", counted)
+    monkeypatch.setattr(P, "_every_pair", lambda *_: pytest.fail("all pairs"))
+    at = [np.array([(k % 40 * 105, k // 40 * 105)]) for k in range(800)]
+    square = np.array([(0, 0), (100, 0), (100, 100), (0, 100), (0, 0.0)])
+    out = X.no_line_twice({"cut": [square[:3] + o for o in at], "bed": [square + o for o in at]})
+    assert total(out["cut"]) == pytest.approx(800 * 200) and total(out["bed"]) == pytest.approx(800 * 200)
+    assert 0 < sum(seen) < 800 * 60
