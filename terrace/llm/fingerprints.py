@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, SPACES, byte_class, ensure_checkpoint_dir, table, text_buffer
+from .common import SPACE_BYTES, SPACES, byte_class, ensure_checkpoint_dir, lean, table, text_buffer
 
 CHUNK = 512
 PIECE = 1 << 16
@@ -94,7 +94,7 @@ def _plain(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch that are worked on at once.
-ROWS = 2000
+ROWS = 500
 
 
 def _base(bits: int):
@@ -140,8 +140,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     """Per row: key, keep_id, group_size, kept, text_sha256, fp_a, fp_b (the fingerprint). bits: of each residue."""
     ensure_checkpoint_dir(docs.sparkSession)
     plain = _plain(docs, key, text)
-    base = plain.mapInArrow(_base(bits), "id long, a long, b long, n long, sha string").checkpoint()
-    pieces = plain.mapInArrow(_pieces(bits, piece), "id long, a long, b long, n long, no long, piece binary")
+    base = plain.mapInArrow(lean(_base(bits)), "id long, a long, b long, n long, sha string").checkpoint()
+    pieces = plain.mapInArrow(lean(_pieces(bits, piece)), "id long, a long, b long, n long, no long, piece binary")
     compared = pieces.groupBy("a", "b", "n", "no").agg(
         F.min("id").alias("keep_id"), F.count("*").alias("group_size"), (F.min("piece") != F.max("piece")).alias("unlike")
     )
@@ -149,7 +149,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     rows = base.join(groups.filter(~F.col("unlike")), ["a", "b", "n"])
     unlike = groups.filter("unlike").select("a", "b", "n")
     if not unlike.isEmpty():
-        texts = plain.mapInArrow(_pieces(bits, 1 << 30), "id long, a long, b long, n long, no long, piece binary").join(unlike, ["a", "b", "n"])
+        texts = plain.mapInArrow(lean(_pieces(bits, 1 << 30)), "id long, a long, b long, n long, no long, piece binary").join(unlike, ["a", "b", "n"])
         same = Window.partitionBy("a", "b", "n", "piece")
         split = texts.select("id", "a", "b", "n", F.sha2("piece", 256).alias("sha"), F.min("id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"))
         rows = rows.select("id", "a", "b", "sha", "keep_id", "group_size").unionByName(split.select("id", "a", "b", "sha", "keep_id", "group_size"))

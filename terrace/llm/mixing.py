@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, ensure_checkpoint_dir, row_keyed, table, word_starts, text_buffer
+from .common import WORDS, ensure_checkpoint_dir, lean, row_keyed, table, word_starts, text_buffer
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -43,7 +43,7 @@ def _counted(batches: Iterator) -> Iterator:
 def sized(docs: DataFrame, key: str, text: str, source: str, row: str | None = None) -> DataFrame:
     more = [F.col(row).cast("long").alias("row")] if row else []
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), *more, F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(_counted, f"id long, source string,{' row long,' if row else ''} size long")
+    return plain.mapInArrow(lean(_counted), f"id long, source string,{' row long,' if row else ''} size long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 BAR = "▁"
 
@@ -180,7 +180,7 @@ def pieces(path: str) -> Pieces:
 
 
 #: Texts are encoded in slices of about this many characters, to bound memory.
-SLICE = 2_000_000
+SLICE = 250_000
 
 
 def _slices(texts: list[str]) -> Iterator[list[int]]:
@@ -218,7 +218,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
                 ], names=["id", "ids", "begins", "ends", "decoded"])
 
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(run, "id long, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("id", key)
+    return plain.mapInArrow(lean(run), "id long, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("id", key)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -243,7 +243,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 ], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long").withColumnRenamed("id", key)
+    return plain.mapInArrow(lean(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long").withColumnRenamed("id", key)
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

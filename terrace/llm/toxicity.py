@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, stored, table
+from .common import forget, lean, stored, table
 
 MAX_TRAIN = 8000
 THRESHOLD = 0.3
@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(n, pa.int64())], names=["id", "score", "n"])
 
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    out = plain.mapInArrow(run, "id long, score double, n long")
+    out = plain.mapInArrow(lean(run), "id long, score double, n long")
     return out.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("n").alias("n_clauses"))
 
 
@@ -293,7 +293,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for batch in _parts(batches):
             yield batch.filter(pa.array([model.score(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,32 @@ def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
     for r in out.collect():
         words[r.source] = words.get(r.source, 0) + len(r.text.split())
     assert all(abs(words.get(s, 0) - t) <= 1 for s, t in target.items()), (words, target)
+
+
+def _after(task) -> tuple[int, int]:
+    """MB of a new process once it has done a task, and its most."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import re, sys
+sys.path.insert(0, {str(Path(corpus_pipeline.__file__).parent)!r})
+import numpy as np, pyarrow as pa
+from terrace.llm import jaccard
+from terrace.llm.common import lean
+text = pa.array([" ".join(f"w{{(i * 7919 + k) % 50021}}" for k in range(300)) for i in range(5000)])
+batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), text, pa.array([0] * 5000, pa.int32())], names=["id", "text", "chunk"])
+at = lambda: sum(map(int, re.findall(r"\\nVmRSS:\\s+(\\d+)", open("/proc/self/status").read()))) // 1024
+before = at()
+{task}
+most = int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+print(at() - before, most - before)
+"""
+    return tuple(map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()))
+
+
+def test_workers_keep_little():
+    """Sizes of 9 MB of text: slices are small, one table of powers is kept a base, and the rest is given back."""
+    kept, most = _after("for _ in lean(jaccard._sizes(5))(iter([batch])): pass")
+    assert kept < 30 and most < 110, (kept, most)
