@@ -7,14 +7,15 @@ neighbours are computed. Scans and prefixes work on whole buckets and arrays at
 To shard the array, every window of ``length`` bytes is filed under the smallest hashed k-gram in it, which equal windows
 have in common. Windows whose k-gram no other document has (``shared_keys``) cannot repeat and stay where they are. For the
 others the run of windows with the same k-gram is sent once per chunk and distinct content, with the smallest doc_id that
-has it there, so a passage that a third of all documents share is sent once per chunk. A shard's task builds the suffix
-array of what it got, and neighbours with a common prefix of ``length`` bytes give each window the smallest doc_id of its
-string. Answers are one bit a window; the chunk puts them together to spans.
+has it there, so a passage that a third of all documents share is sent once per chunk. A shard's task takes each distinct
+run once, with the smallest doc_id of all chunks. Where a k-gram has one run only, no window of it stands in another one.
+Of all other runs the task builds suffix arrays, and neighbours with a common prefix of ``length`` bytes give each window
+the smallest doc_id of its string. Answers are one bit a window; the chunk puts them together to spans.
 
 Defined results: texts are UTF-8 bytes, null and empty ones have none; a string is removed where it also starts in a document
 with a smaller doc_id, null doc_ids are larger than all; repeats inside a document, and between rows with one doc_id,
 stay; very long texts are read whole; an empty table gives an empty table; only the named columns are read. Equal runs
-inside a chunk are told by 64-bit hashes and lengths.
+inside a chunk are told by 64-bit hashes and lengths, those of several chunks by their bytes.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from .jaccard import _R, _R_INVERSE, _powers_of, cut_buffer
 LENGTH = 50
 #: Bytes of the k-grams that windows are filed under.
 GRAM = 24
-#: A shard's share of buckets: each bucket of keys is cut into 2^SPLIT shards.
-SPLIT = 2
 #: Bytes of a suffix array's text, about.
 ARRAY = 300_000
+#: Bytes of text whose windows are filed at once, about: so few that arrays of eight bytes each stay in a core's cache.
+SLICE = 100_000
 _NULL = np.iinfo(np.int64).max
 
 
@@ -58,8 +59,8 @@ def words_at(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _direct(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of their first ``depth`` bytes, or some more; ties as they come."""
-    order = places[np.argsort(words[places], kind="stable")]
+    """Places in the order of their first ``depth`` bytes, or some more; ties in any order."""
+    order = places[np.argsort(words[places])]
     w = words[order]
     group = np.concatenate([[0], np.cumsum(w[1:] != w[:-1])]) if len(order) else np.zeros(0, np.int64)
     open_ = np.arange(len(order))
@@ -158,13 +159,13 @@ def least_owner(t: np.ndarray, owner: np.ndarray, window: np.ndarray, depth: int
 
 class Runs:
     """A chunk's windows, by the k-gram that each is filed under: of each run of windows with one k-gram its key, document,
-    first byte, number of windows, and a hash of its bytes."""
+    first byte, number of windows, a hash of its bytes, and where in it the k-gram stands."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         self.ids, self.data, self.offsets, self.length = ids, data, offsets, length
-        parts = [p for a, b in cut_buffer(data, offsets) if (p := self._slice(a, b, length, gram))]
-        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64)
-        self.key, self.doc, self.start, self.windows, self.content = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds))
+        parts = [p for a, b in cut_buffer(data, offsets, SLICE) if (p := self._slice(a, b, length, gram))]
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64, np.uint8)
+        self.key, self.doc, self.start, self.windows, self.content, self.place = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds))
 
     def _slice(self, a: int, b: int, length: int, gram: int):
         first = self.offsets[a]
@@ -193,7 +194,8 @@ class Runs:
         at = np.flatnonzero(new)
         start, windows = window[at], np.diff(np.append(at, len(doc)))
         content = sk.mix64((running[start + windows + length - 1] - running[start]) * inverse[start] + windows.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return grams[anchor[at]], doc[at] + a, start + first, windows, content
+        # hashes of which each is the smallest of many are small: mixed again, they fall into all buckets alike
+        return sk.mix64(grams[anchor[at]]), doc[at] + a, start + first, windows, content, (anchor[at] - start).astype(np.uint8)
 
     def classes(self, shared: np.ndarray, bits: int):
         """Distinct contents of the runs that share their k-gram, by shard: runs, class of each, and of each class its shard,
@@ -228,7 +230,7 @@ def _shared(runs: Runs, said, bits: int) -> np.ndarray:
     return sk.counted(said.column("bucket").to_pylist(), said.column("counts").to_pylist(), runs.key, runs.ids[runs.doc], bits) > 1
 
 
-SENT = "shard int, chunk int, windows binary, owners binary, subs binary, bytes binary"
+SENT = "shard int, chunk int, windows binary, owners binary, places binary, bytes binary"
 MASKS = "chunk int, shard int, mask binary"
 
 
@@ -237,8 +239,8 @@ def _send(length: int, gram: int, bits: int):
         import pyarrow as pa
 
         runs = _chunk(left, length, gram)
-        _, _, shard, first, least = runs.classes(_shared(runs, right, bits), bits + SPLIT)
-        edges = np.searchsorted(shard, np.arange((1 << (bits + SPLIT)) + 1))
+        _, _, shard, first, least = runs.classes(_shared(runs, right, bits), bits)
+        edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
         used = np.flatnonzero(np.diff(edges))
         rows = []
         for s in used:
@@ -246,42 +248,81 @@ def _send(length: int, gram: int, bits: int):
             n = runs.windows[own]
             size = n + length - 1
             at = np.repeat(runs.start[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            sub = (runs.key[own] >> np.uint64(56 - bits - SPLIT)).astype(np.uint8)
-            rows.append((sk.packed(n.astype(np.uint8)), sk.packed(least[edges[s] : edges[s + 1]]), sk.packed(sub), sk.packed(runs.data[at])))
+            rows.append((sk.packed(n.astype(np.uint8)), sk.packed(least[edges[s] : edges[s + 1]]), sk.packed(runs.place[own]), sk.packed(runs.data[at])))
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table({
             "shard": pa.array(used, pa.int32()), "chunk": pa.array(np.full(len(used), key[0].as_py()), pa.int32()),
-            **{name: pa.array(c, pa.binary()) for name, c in zip(("windows", "owners", "subs", "bytes"), columns, strict=True)},
+            **{name: pa.array(c, pa.binary()) for name, c in zip(("windows", "owners", "places", "bytes"), columns, strict=True)},
         })
 
     return run
 
 
-def _judge(length: int):
+def _stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """A row of words for each stretch of ``size`` bytes, at most ``most``; those of one size are equal if and only if their
+    rows are. The last words overlap instead of going beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    out = np.empty((len(start), -(-most // 8)), np.uint64)
+    for k in range(out.shape[1]):
+        out[:, k] = words[start + np.clip(size - 8, 0, 8 * k)]
+    short = size < 8
+    out[short] &= (np.uint64(1) << (8 * size[short]).astype(np.uint64))[:, None] - np.uint64(1)
+    return out
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        h = sk.mix64(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return h
+
+
+def least_owners(data: np.ndarray, windows: np.ndarray, owners: np.ndarray, places: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each window of each run the least owner of the windows with its bytes. Runs follow each other in data; ``places``
+    is where in each its k-gram stands."""
+    if not len(windows):
+        return np.zeros(0, np.int64)
+    size = windows + length - 1
+    begin = np.cumsum(size) - size
+    whole = _stretches(data, begin, size, 2 * length - gram)
+    key = _row_hashes(_stretches(data, begin + places, np.full(len(size), gram), gram))
+    order = np.lexsort((_row_hashes(whole), key))
+    # distinct runs; those whose hashes meet by chance only make more of them
+    new_key = np.append(True, np.diff(key[order]) != 0)
+    new = new_key.copy()
+    new[1:] |= (size[order][1:] != size[order][:-1]) | (whole[order][1:] != whole[order][:-1]).any(axis=1)
+    del whole
+    run_of = np.empty(len(order), np.int64)
+    run_of[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    owner = np.minimum.reduceat(owners[order], first)
+    n, size, begin = windows[order[first]], size[order[first]], begin[order[first]]
+    at = np.cumsum(n) - n
+    least = np.repeat(owner, n)
+    # one suffix array for as many k-grams of several runs as make about ARRAY bytes
+    group = np.cumsum(new_key[first]) - 1
+    many = np.flatnonzero(np.bincount(group)[group] > 1)
+    part = (np.cumsum(size[many]) // ARRAY)[np.searchsorted(group[many], group[many])]
+    for own in np.split(many, np.flatnonzero(np.diff(part)) + 1):
+        if not len(own):
+            continue
+        of = np.repeat(np.arange(len(own)), size[own])
+        within = np.arange(len(of)) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+        window = within < n[own][of]
+        found = least_owner(data[begin[own][of] + within], owner[own][of], window, length)
+        least[(at[own][of] + within)[window]] = found[window]
+    return least[np.arange(int(windows.sum())) + np.repeat(at[run_of] - (np.cumsum(windows) - windows), windows)]
+
+
+def _judge(length: int, gram: int):
     def run(rows):
         import pyarrow as pa
 
         n = [sk.unpacked(x.as_py(), np.uint8).astype(np.int64) for x in rows.column("windows")]
-        owners = np.concatenate([sk.unpacked(x.as_py(), np.int64) for x in rows.column("owners")])
-        subs = np.concatenate([sk.unpacked(x.as_py(), np.uint8).astype(np.int64) for x in rows.column("subs")])
-        whole = np.concatenate([sk.unpacked(x.as_py(), np.uint8) for x in rows.column("bytes")])
+        owners, places, data = (np.concatenate([sk.unpacked(x.as_py(), kind) for x in rows.column(name)]) for name, kind in (("owners", np.int64), ("places", np.uint8), ("bytes", np.uint8)))
         windows = np.concatenate(n)
-        size = windows + length - 1
-        begin, place = np.cumsum(size) - size, np.cumsum(windows) - windows
-        repeats = np.zeros(int(windows.sum()), bool)
-        # one array for as many k-grams as make about ARRAY bytes
-        parts = min(256, 1 << max(0, (len(whole) // ARRAY).bit_length()))
-        for part in range(parts):
-            own = np.flatnonzero(subs // (256 // parts) == part)
-            if not len(own):
-                continue
-            in_part = size[own]
-            run_of = np.repeat(np.arange(len(own)), in_part)
-            within = np.arange(len(run_of)) - np.repeat(np.cumsum(in_part) - in_part, in_part)
-            t = whole[begin[own][run_of] + within]
-            window = within < windows[own][run_of]
-            owner = owners[own][run_of]
-            repeats[(place[own][run_of] + within)[window]] = (least_owner(t, owner, window, length) < owner)[window]
+        repeats = least_owners(data, windows, owners, places, length, gram) < np.repeat(owners, windows)
         ends = np.cumsum([int(x.sum()) for x in n])
         masks = [sk.packed(np.packbits(repeats[e - int(x.sum()) : e])) for x, e in zip(n, ends, strict=True)]
         return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"), "mask": pa.array(masks, pa.binary())})
@@ -299,7 +340,7 @@ def _cut(length: int, gram: int, bits: int):
 
         runs = _chunk(left, length, gram)
         said = right.filter(pc.is_valid(right.column("bucket")))
-        own, of, shard, first, least = runs.classes(_shared(runs, said, bits), bits + SPLIT)
+        own, of, shard, first, least = runs.classes(_shared(runs, said, bits), bits)
         # a class's windows that a smaller doc_id elsewhere has
         n = runs.windows[first]
         begin = np.cumsum(n) - n
@@ -339,7 +380,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     by_chunk = dealt.groupBy("chunk")
     said = sk.answers(by_chunk.applyInArrow(_ask(length, gram, bits), sk.SENT))
     sent = by_chunk.cogroup(said.groupBy("chunk")).applyInArrow(_send(length, gram, bits), SENT)
-    masks = sent.groupBy("shard").applyInArrow(_judge(length), MASKS)
+    masks = sent.groupBy("shard").applyInArrow(_judge(length, gram), MASKS)
     both = said.select("chunk", "bucket", F.lit(None).cast("int").alias("shard"), "counts").unionByName(masks.select("chunk", F.lit(None).cast("int").alias("bucket"), "shard", F.col("mask").alias("counts")))
     return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(_cut(length, gram, bits), RESULT).withColumnRenamed("id", key)
 

@@ -65,3 +65,57 @@ def test_query_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert got(S.op1_suffix_dedup(spark, d)) == brute(rows, 50)
+
+
+def chunk_runs(texts, length, gram, ids=None):
+    """A chunk's runs, as a shard gets them, and the documents they are of."""
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    return S.Runs(np.arange(len(texts)) if ids is None else np.asarray(ids), data, np.append(0, ends), length, gram)
+
+
+def least_of(chunks, length, gram):
+    """What a shard that gets all runs finds, and the windows' bytes and owners."""
+    stretches = [c.data[s : s + n + length - 1] for c in chunks for s, n in zip(c.start, c.windows, strict=True)]
+    windows = np.concatenate([c.windows for c in chunks])
+    owners = np.concatenate([c.ids[c.doc] for c in chunks])
+    found = S.least_owners(np.concatenate(stretches), windows, owners, np.concatenate([c.place for c in chunks]), length, gram)
+    strings = [x[q : q + length].tobytes() for x, n in zip(stretches, windows, strict=True) for q in range(n)]
+    return found, strings, np.repeat(owners, windows)
+
+
+@pytest.mark.parametrize("length, gram, chance", [(50, 24, False), (50, 24, True), (12, 5, False), (12, 5, True), (20, 20, False), (33, 11, False)])
+def test_least_owners_against_brute_force(monkeypatch, length, gram, chance):
+    if chance:  # hashes that meet by chance cost time, not results
+        monkeypatch.setattr(S, "_row_hashes", lambda rows: rows[:, 0] % np.uint64(3))
+    monkeypatch.setattr(S, "ARRAY", 2000)
+    r = random.Random(length + gram)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    texts = ["".join(r.choice(["the ", "and ", passage[20:95], passage[40:130], "q", "\0", "é" * 30]) for _ in range(r.randrange(14))) for _ in range(60)]
+    chunks = [chunk_runs(texts[k::3], length, gram, range(k, 60, 3)) for k in range(3)]
+    found, strings, owners = least_of(chunks, length, gram)
+    least = {}
+    for s, o in zip(strings, owners.tolist(), strict=True):
+        least[s] = min(least.get(s, o), o)
+    assert found.tolist() == [least[s] for s in strings]
+
+
+def test_copies_are_sorted_once(monkeypatch):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    sorted_bytes = []
+    plain = S.least_owner
+    monkeypatch.setattr(S, "least_owner", lambda t, *rest: sorted_bytes.append(len(t)) or plain(t, *rest))
+    tails = [text[:1500] + c + "".join(r.choice("abcdefgh ") for _ in range(200)) for c in "xy"]
+    chunks = [chunk_runs([t], 50, 24, [k]) for k, t in enumerate([text] * 20 + [tails[0]] * 20 + [tails[1]] * 20)]
+    found, strings, owners = least_of(chunks, 50, 24)
+    assert found[owners == 19].max() == 0 and sorted(set(found[owners == 59].tolist())) == [0, 40]
+    # only the runs at the places where the three texts part
+    assert 0 < sum(sorted_bytes) < 1500
+
+
+def test_keys_fall_into_all_buckets_alike():
+    r = random.Random(4)
+    runs = chunk_runs(["".join(r.choice("abcdefgh ") for _ in range(5000)) for _ in range(20)], 50, 24)
+    shares = np.bincount((runs.key >> np.uint64(60)).astype(np.int64), minlength=16) / len(runs.key)
+    assert 0.03 < shares.min() and shares.max() < 0.1
